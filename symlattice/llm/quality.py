@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.llm.text import SEPARATORS, words
+from symlattice.llm.text import let, words
 from symlattice.plans.scratch import scratch
 
 #: A group needs so many rows for thresholds of its own; else its language's are taken, else the corpus's.
@@ -27,11 +27,6 @@ FENCES = {
 SKETCH_K = 400
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, though it is used more than once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def repeated_words(w: Column) -> Column:
     """Words in windows of 8 that are found twice or more, first included. ``w``: array of words.
 
