@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_tables: list[tuple[SparkSession, str]] = []
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,19 +52,28 @@ def scratch(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         writer.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _tables[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
 
 
-def mark() -> int:
-    """A point to which :func:`release` can go back."""
-    return len(_tables)
+def made() -> set[str]:
+    """Paths of the scratch tables there are."""
+    return set(_tables)
 
 
-def release(since: int = 0) -> None:
-    """Delete the scratch tables made after ``since``. Call it only when no lazy DataFrame reads them any more."""
-    while len(_tables) > since:
-        _delete(*_tables.pop())
+def discard(*tables: DataFrame | str) -> None:
+    """Delete scratch tables (what :func:`scratch` returned, or paths) that no lazy DataFrame reads any more."""
+    for table in tables:
+        path = table if isinstance(table, str) else getattr(table, "_scratch_path", None)
+        spark = _tables.pop(path, None)
+        if spark is not None:
+            _delete(spark, path)
 
 
-atexit.register(release)
+def discard_all() -> None:
+    discard(*made())
+
+
+atexit.register(discard_all)
