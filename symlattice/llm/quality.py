@@ -20,8 +20,9 @@ MIN_GROUP = 200
 #: measure -> (low quantile, factor, least threshold)
 FENCES = {
     "symbol_ratio": (0.05, 6.0, 0.08),
-    "dup_line_ratio": (0.05, 6.0, 0.30),
-    "repeat_ratio": (0.05, 6.0, 0.25),
+    "dup_line_ratio": (0.05, 6.0, 0.50),
+    "repeat_ratio": (0.05, 6.0, 0.30),
+    "stutter_ratio": (0.05, 6.0, 0.25),
     "word_length": (0.05, 6.0, 9.0),
 }
 SKETCH_K = 400
@@ -52,19 +53,22 @@ def repeated_words(w: Column) -> Column:
 
 
 def measures(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns of the documents and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. Null text: none of each."""
+    """``keep`` columns of the documents and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stutters. Null text: none of each.
+
+    A stutter is a word that equals the one before it.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     w = words(text)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     # one struct from one lambda: the words are split once for all measures of them
-    of_words = let(w, lambda a: F.struct(F.size(a).cast("long").alias("n_words"), F.length(F.array_join(a, "")).cast("long").alias("word_chars"), repeated_words(a).alias("n_repeat_words")))
+    of_words = let(w, lambda a: F.struct(F.size(a).cast("long").alias("n_words"), F.length(F.array_join(a, "")).cast("long").alias("word_chars"), repeated_words(a).alias("n_repeat_words"), F.size(F.filter(a, lambda x, i: (i > 0) & (x == F.get(a, i - 1)))).cast("long").alias("n_stutters")))
     return docs.select(
         *keep,
         of_words.alias("m"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long")).alias("n_dup_lines"),
         let(lines, F.size).cast("long").alias("n_lines"),
-    ).select(*keep, "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "n_lines")
+    ).select(*keep, "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "n_lines", "m.n_stutters")
 
 
 def ratios(m: DataFrame) -> DataFrame:
@@ -74,6 +78,7 @@ def ratios(m: DataFrame) -> DataFrame:
         some("n_symbols", "word_chars").alias("symbol_ratio"),
         some("n_dup_lines", "n_lines").alias("dup_line_ratio"),
         some("n_repeat_words", "n_words").alias("repeat_ratio"),
+        some("n_stutters", "n_words").alias("stutter_ratio"),
         some("word_chars", "n_words").alias("word_length"),
     )
 
@@ -99,7 +104,7 @@ def thresholds(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """doc_id, lang, source, the measures, their ratios and fences, base_failed, kept: one row a document.
+    """doc_id, text_hash, lang, source, the measures, their ratios and fences, base_failed, kept: one row a document.
 
     Reads doc_id, text, lang and source. Null and empty texts have 0 of everything and fail the base
     rules; a null language or source is a group of its own; rows that repeat are each judged; an
@@ -107,7 +112,7 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     whole, once; the measures (narrow rows) are written, summed into sketches with map-side
     combine (so that a hot source is no hot task) and joined to the thresholds, a row for each group.
     """
-    measured = ratios(scratch(measures(docs, "doc_id", "lang", "source")))
+    measured = ratios(scratch(measures(docs.withColumn("text_hash", F.xxhash64("text")), "doc_id", "text_hash", "lang", "source")))
     limits = thresholds(measured, min_group)
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_lang", "t_source")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -115,3 +120,10 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     for c in FENCES:
         passes = passes & (F.col(c) <= F.col(f"max_{c}"))
     return joined.withColumn("base_failed", base).withColumn("kept", ~base & passes)
+
+
+def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """The documents, with their own columns, that ``quality_rules`` keeps. Of rows that repeat in id and text all are kept or none, unless their language or source differs: then one that fails takes them along."""
+    bad = quality_rules(docs, min_group).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rows = docs.withColumn("__text", F.xxhash64("text"))
+    return rows.join(bad.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(bad["__id"]) & (rows["__text"] == bad["__hash"]), "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlattice.llm import binary_output, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, topk, toxicity
+from symlattice.llm import binary_output, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(_read(spark, sf_dir, "documents"), lm_scoring.in_fold(F.col("doc_id")))
 
@@ -63,7 +68,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_packing, op5_lm_scoring, op6_binary_output, op7_near_dedup, op8_line_dedup, op9_toxicity, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_packing, op4_substring_dedup, op5_lm_scoring, op6_binary_output, op7_near_dedup, op8_line_dedup, op9_toxicity, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
