@@ -28,7 +28,7 @@ from symlattice.llm.text import chunks, mix, word_hashes
 from symlattice.plans.scratch import scratch
 
 #: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 5_000_000
 SPREAD = 4
 #: Strength of the smoothing, in tokens.
 MU = 60.0
@@ -209,29 +209,38 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard after the other: sum the counts of all blocks, build the trie, answer the blocks."""
+    """One shard after the other: sum the counts of all blocks, build the trie, answer the blocks.
+
+    What the blocks ask is put together first, so that each level is read once, in order.
+    """
     for (kind, shard), rows in _groups(batches, ["kind", "shard"]):
-        sent = [take(r["payload"]) for r in rows]
-        keys = [take_sorted(s[0], s[1]) for s in sent]
-        counts = [s[2].astype(np.int64) for s in sent]
-        flat, weight = np.concatenate(keys), np.concatenate(counts)
-        flat, weight = flat[weight > 0], weight[weight > 0]
-        distinct, inverse = np.unique(flat, return_inverse=True)
-        summed = np.bincount(inverse, weight, len(distinct)).astype(np.int64)
-        trie = Trie(distinct, summed) if kind == PAIRS else Words(distinct, summed)
+        keys, counts = [], []
+        for r in rows:
+            width, planes, c = take(r.pop("payload"))
+            keys.append(take_sorted(width, planes))
+            counts.append(c)
+        edges = np.cumsum([0, *map(len, keys)])
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        summed = np.zeros(len(distinct), np.int64)
+        for a, b, c in zip(edges, edges[1:], counts, strict=False):
+            summed[inverse[a:b]] += c  # a block names each key once
+        del keys, counts
+        seen = summed > 0
+        trie = (Trie if kind == PAIRS else Words)(distinct[seen], summed[seen])
         try:
-            out, size = [], 0
-            for r, k in zip(rows, keys, strict=True):
-                out.append((r["block"], kind, shard, put(trie.lookup(k))))
-                size += len(out[-1][3])
-                if size > 4_000_000:
-                    yield _rows(out)
-                    out, size = [], 0
-            if kind == WORDS:
-                out.append((-1, TOTALS, shard, put(np.array([summed.sum(), len(distinct)], np.int64))))
-            yield _rows(out)
+            found = trie.lookup(distinct)
         finally:
             trie.close()
+        out, size = [], 0
+        for r, a, b in zip(rows, edges, edges[1:], strict=False):
+            out.append((r["block"], kind, shard, put(found[inverse[a:b]])))
+            size += len(out[-1][3])
+            if size > 4_000_000:
+                yield _rows(out)
+                out, size = [], 0
+        if kind == WORDS:
+            out.append((-1, TOTALS, shard, put(np.array([summed.sum(), seen.sum()], np.int64))))
+        yield _rows(out)
 
 
 class Words(Trie):
