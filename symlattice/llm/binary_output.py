@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.llm.text import chunks, default_tokenizer, encoder
+from symlattice.llm.text import bounded_batches, chunks, default_tokenizer, encoder
 
 #: Ids that are packed together; it bounds a worker's memory, whatever the size of its partition.
 BLOCK_TOKENS = 2_000_000
@@ -81,6 +81,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str | None = None, width: int =
     table gives no row. Blocks of a fixed number of ids are packed where the texts lie: no shuffle.
     """
     tokenizer = tokenizer or default_tokenizer()
+    bounded_batches(docs.sparkSession)
     places = "<u2" if width <= 1 << 16 else "<u4"
 
     def block(row_id: int, docs: list[int], starts: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:

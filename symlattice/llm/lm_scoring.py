@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlattice.llm.elias_fano import CHILD_BITS, CONTEXT_BITS, EliasFano, Trie, mapped, restore
-from symlattice.llm.text import chunks, mix, word_hashes
+from symlattice.llm.text import bounded_batches, chunks, mix, word_hashes
 from symlattice.plans.scratch import scratch
 
 #: Text bytes of a block; a longer document is a block of its own.
@@ -267,6 +267,7 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     gives no row; if all is held out, N and V are 0 and every token is unknown. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     shards = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held_out, F.lit(False)).alias("held"))
     blocks = scratch(rows.mapInArrow(_blocks, ROW))

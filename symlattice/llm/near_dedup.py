@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symlattice.llm.text import chunks, mix, word_hashes
+from symlattice.llm.text import bounded_batches, chunks, mix, word_hashes
 from symlattice.operators.components import connected_components
 from symlattice.plans.scratch import scratch
 
@@ -253,6 +253,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A link at the threshold is missed by the bands with a chance of (1 - 0.75**4)**32 = 5e-6, less for more similar texts.
     """
+    bounded_batches(docs.sparkSession)
     table = scratch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash")).mapInArrow(_sketched, "rid long, doc_id long, text_hash long, n_shingles long, key binary, bands array<long>, small binary"))
     component = components(docs, table)
     joined = table.select("doc_id", "text_hash", "n_shingles", "key").join(component, "key", "left")

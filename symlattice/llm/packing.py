@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.llm.text import default_tokenizer
+from symlattice.llm.text import bounded_batches, default_tokenizer
 from symlattice.llm.tokens import id_type, token_table
 from symlattice.plans.prefix import ordered_cumsum
 from symlattice.plans.scratch import scratch
@@ -80,6 +80,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, we
     made from narrow rows, and one shuffle joins it to the ids.
     """
     tokenizer = tokenizer or default_tokenizer()
+    bounded_batches(docs.sparkSession)
     kind = id_type(tokenizer)
     tokens = scratch(token_table(docs, tokenizer, kind, end_id))
     plan = drr_schedule(tokens, window, weights)

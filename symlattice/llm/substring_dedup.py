@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.llm.text import chunks, mix, powers, prefix_hash, text_bytes
+from symlattice.llm.text import bounded_batches, chunks, mix, powers, prefix_hash, span_hash, text_bytes
 from symlattice.plans.scratch import discard, scratch
 
 LENGTH = 100
 ANCHOR = 32
 #: Contexts whose suffixes a task sorts at a time (whole anchors, unless one alone has more).
-SORTED = 20_000
+SORTED = 10_000
+#: Text bytes that are held as arrays of numbers at once.
+CHUNK = 500_000
 #: Occurrences from which an anchor counts as very frequent, and the classes into which its strings are put.
 HOT, CLASSES = 1000, 4
 
@@ -80,7 +82,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of all texts. Of those with the same context a batch sends the first alone; the others are covered (null anchor)."""
-    for batch in chunks(batches):
+    for batch in chunks(batches, most=CHUNK):
         null = np.asarray(batch.column("doc_id").is_null())
         ids = batch.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
         rank = batch.column("copy").to_numpy()
@@ -114,33 +116,33 @@ def previous_factors(contexts: list[bytes], place: np.ndarray, group: np.ndarray
     """Starts (context number, offset) whose LENGTH bytes also start at an earlier place in a context of the same group.
 
     ``place``: the corpus-wide order of each context's first byte; bytes of a context follow it. Suffixes are
-    sorted by their group, then by doubling up to LENGTH bytes; of equal ones the order is that of their places, so that
+    sorted by their group, then by their first LENGTH bytes; of equal ones the order is that of their places, so that
     the previous smaller place of any but the first of equals is its neighbour, at a common length of LENGTH or more.
     """
-    sizes = np.array([len(c) for c in contexts])
+    sizes = np.array([len(c) for c in contexts], np.int64)
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
     first = np.cumsum(sizes) - sizes
-    offset = np.arange(len(data)) - first[owner]
-    room = sizes[owner] - offset
-    rank, span = data.astype(np.int64), 1
-    while span < LENGTH:
-        step = min(span, LENGTH - span)  # the second half may overlap the first
-        alive = room >= span + step
-        pair = np.full(len(data), -1, np.int64)
-        i = np.flatnonzero(alive)
-        key = rank[i] * (int(rank.max(initial=0)) + 1) + rank[i + step]
-        _, pair[i] = np.unique(key, return_inverse=True)
-        rank, span = np.where(alive, pair, 0), span + step
-    i = np.flatnonzero(room >= LENGTH)
-    rank = rank + group[owner] * (int(rank.max(initial=0)) + 1)
-    spot = place[owner[i]] + offset[i]
-    order = np.lexsort((spot, rank[i]))
+    strings = np.maximum(0, sizes - LENGTH + 1)
+    owner = np.repeat(np.arange(len(sizes)), strings)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+    at = first[owner] + offset
+    # a suffix alone with the hash of its first bytes has no previous factor of that length; only the others are sorted
+    hashes = span_hash(prefix_hash(data, False), at, at + LENGTH) + group[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(counts[inverse] > 1)
+    owner, offset, at = owner[some], offset[some], at[some]
+    if not len(at):
+        return owner, offset
+    suffix = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at].view(f"S{LENGTH}").reshape(-1)
+    _, rank = np.unique(suffix, return_inverse=True)
+    rank = rank + group[owner] * (int(rank.max()) + 1)
+    spot = place[owner] + offset
+    order = np.lexsort((spot, rank))
     # equal suffixes stand by place, so the previous smaller place is the one before, and the factor has LENGTH bytes
-    i, r, spot = i[order], rank[i][order], spot[order]
-    group = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
-    least = np.repeat(spot[group], np.diff(np.r_[group, len(r)]))
-    hit = i[spot > least]
+    r, spot = rank[order], spot[order]
+    begin = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    least = np.repeat(spot[begin], np.diff(np.r_[begin, len(r)]))
+    hit = order[spot > least]
     return owner[hit], offset[hit]
 
 
@@ -244,6 +246,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, start, end): intervals of bytes, each made of covered strings, of a table (doc_id, copy, text)."""
+    bounded_batches(docs.sparkSession)
     found = scratch(docs.mapInArrow(_found, FOUND))
     some = found.where("anchor is not null")
     # anchors with more than one occurrence left, and whether their contexts differ: sums with map-side combine

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Text bytes that a worker holds as arrays at once; a longer document is taken alone.
 CHUNK_BYTES = 2_000_000
+BATCH_BYTES = "8m"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -77,6 +78,16 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def bounded_batches(spark) -> None:
+    """Let Arrow batches between the JVM and Python be a few MB, unless the session says how large they may be.
+
+    Texts and blocks are long; without it a batch of ten thousand of them is held twice, on either side.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in {k for k, _ in spark.sparkContext.getConf().getAll()} and spark.conf.get(name, None) != BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

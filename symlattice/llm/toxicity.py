@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.llm.text import chunks, mix, prefix_hash, span_hash, text_bytes
+from symlattice.llm.text import bounded_batches, chunks, mix, prefix_hash, span_hash, text_bytes
 
 #: Labelled rows that the classifier is fitted on at most, the first by a hash of their id.
 SAMPLE = 20_000
@@ -237,6 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null text is empty; it has no segment, and the score that the model gives such a text. Other columns are
     ignored; rows that repeat are each scored; an empty table gives no row.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
