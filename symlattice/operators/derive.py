@@ -101,11 +101,12 @@ def flows(calls: DataFrame, max_chain: int = MAX_CHAIN, max_flows: int = MAX_FLO
     out = calls.select("src_id", "dst_id", "conf").distinct()
     state = starts.select("id", F.array("id").alias("steps"), F.array().cast("array<string>").alias("confs"), F.col("id").alias("cur"))
     for _ in range(max_chain - 1):
-        ahead = state.join(out, F.col("cur") == F.col("src_id")).where(~F.array_contains("steps", F.col("dst_id")))
-        best = ahead.groupBy("id").agg(F.min(F.struct("dst_id", "conf")).alias("to"))
-        joined = state.join(best, "id", "left")
+        # one join and one aggregate a step: a walk without a way on keeps its row, with a null target
+        ahead = state.join(out, F.col("cur") == F.col("src_id"), "left")
+        fresh = F.col("dst_id").isNotNull() & ~F.array_contains("steps", F.col("dst_id"))
+        best = ahead.groupBy("id", "steps", "confs").agg(F.min(F.when(fresh, F.struct("dst_id", "conf"))).alias("to"))
         moved = F.col("to").isNotNull()
-        state = joined.select("id", F.when(moved, F.concat("steps", F.array("to.dst_id"))).otherwise(F.col("steps")).alias("steps"), F.when(moved, F.concat("confs", F.array("to.conf"))).otherwise(F.col("confs")).alias("confs"), F.when(moved, F.col("to.dst_id")).alias("cur"))
+        state = best.select("id", F.when(moved, F.concat("steps", F.array("to.dst_id"))).otherwise(F.col("steps")).alias("steps"), F.when(moved, F.concat("confs", F.array("to.conf"))).otherwise(F.col("confs")).alias("confs"), F.when(moved, F.col("to.dst_id")).alias("cur"))
     long = state.where(F.size("steps") >= LEAST_STEPS)
     conf = F.when(F.array_contains("confs", "weak"), "weak").otherwise("strong")
     return long.select((F.row_number().over(Window.orderBy("id")) - 1).alias("number"), "id", "steps", conf.alias("conf"))  # at most ``max_flows`` rows

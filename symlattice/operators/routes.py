@@ -126,7 +126,7 @@ def enclosing_at(points: DataFrame, symbols: DataFrame) -> DataFrame:
 def callback_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """(call_seq, src_id, dst_id, raw_name, file_path, line): plain calls of a name that the file declares, from elsewhere than its first symbol."""
     first = symbols.groupBy("file_path", "name").agg(F.min_by("id", "seq").alias("dst_id"))
-    met = calls.where("not member").join(first, ["file_path", "name"]).where("from_id <> dst_id")
+    met = calls.where("not member").select("call_seq", "from_id", "name", "file_path", "line").join(first, ["file_path", "name"]).where("from_id <> dst_id")
     return met.select("call_seq", F.col("from_id").alias("src_id"), "dst_id", F.col("name").alias("raw_name"), "file_path", "line")
 
 
@@ -134,7 +134,7 @@ def setstate_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """(call_seq, src_id, dst_id, raw_name, file_path, line): calls that set state, to the file's first method ``render``."""
     first = symbols.where("name = 'render' and kind = 'method'").groupBy("file_path").agg(F.min_by("id", "seq").alias("dst_id"))
     sets = (F.col("name") == "setState") | (F.col("name").startswith("set") & (F.octet_length("name") > 3))
-    return calls.where(sets).join(first, "file_path").select("call_seq", F.col("from_id").alias("src_id"), "dst_id", F.col("name").alias("raw_name"), "file_path", "line")
+    return calls.where(sets).select("call_seq", "from_id", "name", "file_path", "line").join(first, "file_path").select("call_seq", F.col("from_id").alias("src_id"), "dst_id", F.col("name").alias("raw_name"), "file_path", "line")
 
 
 def dispatch_edges(lines: DataFrame, calls: DataFrame, symbols: DataFrame) -> DataFrame:
