@@ -73,6 +73,9 @@ def grep_gap(lines: DataFrame, nodes: DataFrame, edges: DataFrame, name: str) ->
 def snippet(files: DataFrame, path: str, start: int, end: int, budget: int = 1600) -> DataFrame:
     """Lines ``start`` to ``end`` of a file (path, text), at most ``budget`` bytes of them and then a mark."""
     part = F.array_join(F.slice(F.split("text", "\n"), max(1, start), max(0, end - max(1, start) + 1)), "\n")
-    cut = F.decode(F.substring(F.encode(part, "UTF-8"), 1, budget), "UTF-8")
-    cut = F.regexp_replace(cut, "�+$", "")  # a character that the budget cuts through
+    raw = F.encode(part, "UTF-8")
+    # a byte 10xxxxxx goes on with a character: at most three of them are stepped back over
+    inside = lambda n: F.hex(F.substring(raw, n + 1, 1)).rlike("^[89AB]")
+    end = F.coalesce(*[F.when(~inside(n), F.lit(n)) for n in range(budget, max(0, budget - 4), -1)], F.lit(budget))
+    cut = F.decode(F.substring(raw, F.lit(1), end), "UTF-8")
     return files.where(F.col("path") == path).select("path", F.when(F.octet_length(part) > budget, F.concat(cut, F.lit("\n…"))).otherwise(part).alias("snippet"))

@@ -730,10 +730,10 @@ def group_refusal(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     r"""with p as (select item_id as id, regexp_extract(text, '^\s*(\S+)', 1) as w from benchmark), d as (select id, case id % 7 when 0 then w when 1 then 'export const ' || w when 2 then '^' || w || '(' when 3 then w || '|' || 'other' || cast(id as string) when 4 then 'TODO' when 5 then w || '.*' else 'a|b|c|d|' || w end as pattern from p),
-    b as (select id, pattern, unnest(string_split_regex(pattern, '\\?\|')) as br, generate_subscripts(string_split_regex(pattern, '\\?\|'), 1) as at from d),
-    n as (select id, pattern, at, regexp_replace(regexp_replace(regexp_replace(trim(br), '^(\^|\\b|\\<|\\?\()+', ''), '^(export\s+)?(default\s+)?(async\s+)?(function\*?|const|let|var|class|type|interface|enum)\s+', ''), '(\\b|\\>|\\s[*+]?|\s|\\?[()]|=)+$', '') as name from b),
-    u as (select id, pattern, name, min(at) as at from n group by id, pattern, name)
-    select id, pattern, case when bool_and(regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*$') and upper(name) not in ('TODO', 'FIXME', 'HACK', 'XXX')) and count(*) <= 4 then string_agg(name, ',' order by at) end as names from u group by id, pattern"""
+    b as (select id, pattern, unnest(string_split_regex(pattern, '\\?\|')) as br, generate_subscripts(string_split_regex(pattern, '\\?\|'), 1) as pos from d),
+    n as (select id, pattern, pos, regexp_replace(regexp_replace(regexp_replace(trim(br), '^(\^|\\b|\\<|\\?\()+', ''), '^(export\s+)?(default\s+)?(async\s+)?(function\*?|const|let|var|class|type|interface|enum)\s+', ''), '(\\b|\\>|\\s[*+]?|\s|\\?[()]|=)+$', '') as name from b),
+    u as (select id, pattern, name, min(pos) as pos from n group by id, pattern, name)
+    select id, pattern, case when bool_and(regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*$') and upper(name) not in ('TODO', 'FIXME', 'HACK', 'XXX')) and count(*) <= 4 then string_agg(name, ',' order by pos) end as names from u group by id, pattern"""
 )
 def intent_symbols(spark: SparkSession, sf: str) -> DataFrame:
     from symlattice.plans import host

@@ -414,6 +414,8 @@ class _Scanner:
         after = i + 1 + (self.word(i + 1) == "?.")
         k = self.after_types(after)
         called = self.word(k) == "(" and i not in self.skip
+        if called and w == "async" and self.arrow_after(self.pair.get(k, k)):
+            return
         if called and before != "new" and not self.new_before(i):
             if w not in _WORDS or w in _SOFT or member:
                 self.facts.call(owner, w, member, self.t[self.chain_start(i)].line)
