@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from symlattice.llm import binary_output, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, topk, toxicity
 
+from symlattice.llm.sql import ORACLE
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -72,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
