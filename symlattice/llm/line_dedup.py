@@ -13,38 +13,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlattice.llm.text import let
-from symlattice.plans.scratch import scratch
+from symlattice.plans.scratch import discard, scratch
 
 #: Edits up to which a line is a near copy.
 THRESHOLD = 2
 #: Shorter lines (code points) are left alone: within two edits of each other they may say different things.
 MIN_LENGTH = 20
+#: Pairs of neighbouring characters that an edit takes away or adds, at most.
+CHANGED = 4
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """Start (from 1) and length of the ``i``-th (from 1) of ``parts`` segments; the shorter ones come first."""
-    base, short = F.floor(length / parts), parts - length % parts
-    return ((i - 1) * base + F.greatest(F.lit(0), i - 1 - short) + 1).cast("int"), (base + (short < i).cast("int")).cast("int")
+    rest = F.pmod(length, F.lit(parts))
+    base, short = ((length - rest) / parts).cast("int"), parts - rest
+    return (i - 1) * base + F.greatest(F.lit(0), i - 1 - short) + 1, base + (short < i).cast("int")
 
 
-def probes(line: Column, length: Column, threshold: int) -> list[Column]:
-    """Keys under which a line no longer than this one, within ``threshold`` edits, may be entered."""
-    parts, keys = threshold + 1, []
-    for shorter in range(threshold + 1):
-        for i in range(1, parts + 1):
-            start, size = segment(length - shorter, i, parts)
-            low, high = max(1 - i, shorter - (parts - i)), min(i - 1, shorter + parts - i)
-            for by in range(low, high + 1):
-                at = start + by
-                key = F.xxhash64(F.substring(line, at, size), length - shorter, F.lit(i))
-                keys.append(F.when((at >= 1) & (at + size - 1 <= length), key))
-    return keys
+def selections(threshold: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the entered line is, segment, shift of its place): where a segment may be found, each once."""
+    parts = threshold + 1
+    return [
+        (shorter, i, by)
+        for shorter in range(threshold + 1)
+        for i in range(1, parts + 1)
+        for by in range(max(1 - i, shorter - (parts - i)), min(i - 1, shorter + parts - i) + 1)
+    ]
 
 
-def entries(line: Column, length: Column, threshold: int) -> list[Column]:
-    parts = threshold + 1
-    spans = [(i, *segment(length, i, parts)) for i in range(1, parts + 1)]
-    return [F.xxhash64(F.substring(line, start, size), length, F.lit(i)) for i, start, size in spans]
+def keyed(lines: DataFrame, choices: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """The lines' other columns and key: a row for each choice, made by one small expression that is run for each of them."""
+    table = F.inline(F.array(*[F.struct(F.lit(a).alias("shorter"), F.lit(i).alias("i"), F.lit(b).alias("by")) for a, i, b in choices]))
+    keep = [c for c in lines.columns if c not in ("line", "length")]
+    rows = lines.select(*keep, "line", "length", table)
+    other = F.col("length") - F.col("shorter")
+    start, size = segment(other, F.col("i"), threshold + 1)
+    at = start + F.col("by")
+    rows = rows.where((at >= 1) & (at + size - 1 <= F.col("length")))
+    return rows.select(*keep, F.xxhash64(F.substring(F.col("line"), at, size), other, F.col("i")).alias("key"))
+
+
+def signature(line: Column) -> Column:
+    """64 bits: of each pair of neighbouring characters, by its hash, whether there is an odd number. An edit changes at most CHANGED of them."""
+    pair = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.pmod(F.xxhash64(F.get(c, i), F.get(c, i + 1)), F.lit(64)).cast("int"))
+    fold = lambda places: F.aggregate(places, F.lit(0).cast("long"), lambda acc, n: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), n)))
+    return let(F.split(line, ""), lambda c: F.when(F.size(c) > 1, fold(pair(c))).otherwise(F.lit(0).cast("long")))
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -53,35 +66,54 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
 
 def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of ids of lines within ``threshold`` edits, each once, of a table (id, line) of distinct lines."""
+    """Pairs (a, b) of ids of lines within ``threshold`` edits, each once, of a table (id, line) of distinct lines.
+
+    First, lines that share no key with another one are left out, by semi joins: these don't make pairs, however
+    many lines meet under a key. The rest, as a rule few, get a signature of their text. Two of them are a
+    pair only if their signatures allow so few edits; so lines that share a segment and differ elsewhere (edited copies
+    of one passage) are told apart within the join.
+    """
+    parts = threshold + 1
+    choices, own = selections(threshold), [(0, i, 0) for i in range(1, parts + 1)]
     sized = lines.select("id", "line", F.length("line").alias("length"))
-    entered = sized.select("id", F.explode(F.array(*entries(F.col("line"), F.col("length"), threshold))).alias("key"))
-    probed = sized.select(F.col("id").alias("probe"), F.explode(F.array_distinct(F.array(*probes(F.col("line"), F.col("length"), threshold)))).alias("key")).where("key is not null")
-    met = probed.join(entered, "key").where("id <> probe").select(F.least("id", "probe").alias("a"), F.greatest("id", "probe").alias("b")).distinct()
-    text = lines.select("id", "line")
-    left, right = text.select(F.col("id").alias("a"), F.col("line").alias("x")), text.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    return met.join(left, "a").join(right, "b").where(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
+    probed, entered = keyed(sized, choices, threshold), keyed(sized, own, threshold).withColumnRenamed("id", "e_id")
+    meet = (probed["key"] == entered["key"]) & (probed["id"] != entered["e_id"])
+    met = probed.join(entered, meet, "left_semi").select("id").union(entered.join(probed, meet, "left_semi").select("e_id")).distinct()
+    met = scratch(met)
+    # what meets grows with the corpus, and so isn't broadcast
+    few = scratch(lines.select("id", "line").join(met.hint("shuffle_hash"), "id", "left_semi").withColumn("sig", signature(F.col("line"))).withColumn("length", F.length("line")))
+    discard(met)
+    left, right = keyed(few, choices, threshold), keyed(few, own, threshold).select(F.col("id").alias("e_id"), F.col("sig").alias("e_sig"), "key")
+    pairs = left.join(right, "key").where((F.col("id") != F.col("e_id")) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("e_sig"))) <= CHANGED * threshold))
+    pairs = pairs.select(F.least("id", "e_id").alias("a"), F.greatest("id", "e_id").alias("b")).distinct()
+    x, y = few.select(F.col("id").alias("a"), F.col("line").alias("x")), few.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    return pairs.join(x, "a").join(y, "b").where(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENGTH) -> DataFrame:
     """doc_id, text_hash, exact, near: for each document with any, the numbers (from 0) of its lines to be removed."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = rows.where(F.length("line") >= min_length).withColumn("id", F.xxhash64("line"))
-    place = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "at", "text_hash")
+    rows = rows.where(F.length("line") >= min_length)
+    # a place as one number, which an aggregate keeps in place: the document, then the line
+    wide = "decimal(38,0)"
+    place = F.coalesce(F.col("doc_id").cast(wide), F.lit("18446744073709551616").cast(wide)) * F.lit("4294967296").cast("decimal(10,0)") + F.col("at").cast(wide)
+    number = F.xxhash64("line", F.length("line"))
     # distinct lines by their text, each with its first place; equal lines are summed before the shuffle
-    distinct = scratch(rows.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).select(F.xxhash64("line", F.length("line")).alias("id"), "line", "first", "n"))
-    pairs = scratch(near_lines(distinct, threshold))
+    summed = rows.groupBy("line").agg(F.min(place.cast(wide)).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = scratch(summed.select(number.alias("id"), "line", "first", "n"))
+    pairs = near_lines(distinct, threshold)
     # the later line of each pair, by the places at which the two were first seen
     first = distinct.select("id", "first")
     a, b = first.select(F.col("id").alias("a"), F.col("first").alias("fa")), first.select(F.col("id").alias("b"), F.col("first").alias("fb"))
     later = pairs.join(a, "a").join(b, "b").select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
-    known = distinct.where("n > 1").select("id", "first", F.lit(False).alias("near")).unionByName(first.join(later, "id").select("id", "first", F.lit(True).alias("near")))
-    known = known.groupBy("id").agg(F.min("first").alias("first"), F.max("near").alias("near"))
-    seen = rows.select("doc_id", "text_hash", "at", F.xxhash64("line", F.length("line")).alias("id"), place.alias("place")).join(known, "id")
-    gone = seen.where(F.col("near") | (F.col("place") > F.col("first")))
+    near = first.join(later, "id").select("id", "first", F.lit(1).alias("near"))
+    known = distinct.where("n > 1").select("id", "first", F.lit(0).alias("near")).unionByName(near)
+    known = scratch(known.groupBy("id").agg(F.min("first").alias("first"), F.max("near").alias("near")))
+    discard(distinct)
+    seen = rows.select("doc_id", "text_hash", "at", number.alias("id"), place.cast(wide).alias("place")).join(known, "id")
     exact = F.col("place") > F.col("first")
-    lists = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.when(exact, F.col("at"))).alias("exact"), F.collect_set(F.when(~exact, F.col("at"))).alias("near"))
-    return lists
+    gone = seen.where((F.col("near") == 1) | exact)
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.when(exact, F.col("at"))).alias("exact"), F.collect_set(F.when(~exact, F.col("at"))).alias("near"))
 
 
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -91,7 +123,8 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MI
     (smaller doc_id, nulls last, or same document, earlier), or if a different line within ``threshold`` edits was
     first seen before its own first place; the first of several copies stays. All else stays as it is, in order. A
     null text stays null, with 0 lines; an empty one has one line. Documents are kept, even with an empty text. Rows
-    that repeat in id and text count as the same document, and each gets the same result. ``n_chars``, if there is
+    that repeat in id and text count as the same document, and each gets the same result; of equal lines at one place of different
+    texts that share a doc_id all stay. ``n_chars``, if there is
     such a column, is left as it came. An empty table gives no row. Columns that are named as those added are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_exact_removed", "n_near_removed")]
