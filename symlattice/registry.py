@@ -11,6 +11,7 @@ from symlattice.functions import paths as P
 from symlattice.functions import text as X
 from symlattice.operators import banner, changes, components, derive, fold, freshness, graph, lookup, resolve, routes, scope, search
 from symlattice.plans.fixtures import duck, table, view
+from symlattice.plans.scratch import scratch
 from symlattice.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,11 @@ def _long(*names: str):
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
+def stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A view as a table: what an iterative operator reads again in each round, as the graph store's tables are."""
+    return scratch(view(spark, sf, name))
+
+
 # -- traversal ------------------------------------------------------------------------------------------------
 
 
@@ -62,14 +68,14 @@ def _hop_rows(depth: int = 4) -> str:
 def blast_hops(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
-    hops = graph.blast_hops(view(spark, sf, "fx_calls"), view(spark, sf, "fx_seed"))
+    hops = graph.blast_hops(stored(spark, sf, "fx_calls"), view(spark, sf, "fx_seed"))
     place = F.row_number().over(Window.partitionBy("depth").orderBy("rank")).cast("long")
     return hops.select(*_long("depth"), place.alias("place"), "src_id", "file_path", "line", "conf", "reason")
 
 
 @query(f"{_levels('fx_seeds')} select cast(depth as bigint) as depth, src_id, file_path, line, conf, reason from ({_hop_rows()})", ("fx_calls", "fx_seeds"))
 def blast_multi_seed(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.blast_hops(view(spark, sf, "fx_calls"), view(spark, sf, "fx_seeds")).select(*_long("depth"), "src_id", "file_path", "line", "conf", "reason")
+    return graph.blast_hops(stored(spark, sf, "fx_calls"), view(spark, sf, "fx_seeds")).select(*_long("depth"), "src_id", "file_path", "line", "conf", "reason")
 
 
 @query(
@@ -79,7 +85,7 @@ def blast_multi_seed(spark: SparkSession, sf: str) -> DataFrame:
     recursive=True,
 )
 def blast_depths(spark: SparkSession, sf: str) -> DataFrame:
-    hops = graph.blast_hops(view(spark, sf, "fx_calls"), view(spark, sf, "fx_seed"))
+    hops = graph.blast_hops(stored(spark, sf, "fx_calls"), view(spark, sf, "fx_seed"))
     return hops.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.sum("src_id").alias("id_sum")).select(*_long("depth"), "n", "id_sum")
 
 
@@ -88,13 +94,13 @@ def blast_depths(spark: SparkSession, sf: str) -> DataFrame:
     ("fx_calls", "fx_seed", "fx_nodes"),
 )
 def blast_by_depth(spark: SparkSession, sf: str) -> DataFrame:
-    hops = graph.with_nodes(graph.blast_hops(view(spark, sf, "fx_calls"), view(spark, sf, "fx_seed")), view(spark, sf, "fx_nodes"))
+    hops = graph.with_nodes(graph.blast_hops(stored(spark, sf, "fx_calls"), view(spark, sf, "fx_seed")), view(spark, sf, "fx_nodes"))
     return graph.blast_depths(hops).select(*_long("depth"), F.array_join("rows", "\n").alias("listing"))
 
 
 @query(f"{_levels('fx_seeds')} select coalesce(sum(case when depth = 1 then 1 else 0 end), 0)::bigint as direct, coalesce(sum(case when depth > 1 then 1 else 0 end), 0)::bigint as deeper from ({_hop_rows()})", ("fx_calls", "fx_seeds"))
 def direct_callers(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.direct_and_deeper(graph.blast_hops(view(spark, sf, "fx_calls"), view(spark, sf, "fx_seeds")))
+    return graph.direct_and_deeper(graph.blast_hops(stored(spark, sf, "fx_calls"), view(spark, sf, "fx_seeds")))
 
 
 def _spine_sql() -> str:
@@ -374,7 +380,7 @@ def _flow_sql() -> str:
 
 @query(_flow_sql(), ("fx_calls",))
 def flows(spark: SparkSession, sf: str) -> DataFrame:
-    return derive.flows(view(spark, sf, "fx_calls")).select(*_long("number"), "id", F.array_join(F.transform("steps", lambda x: x.cast("string")), ">").alias("steps"), "conf")
+    return derive.flows(stored(spark, sf, "fx_calls")).select(*_long("number"), "id", F.array_join(F.transform("steps", lambda x: x.cast("string")), ">").alias("steps"), "conf")
 
 
 @query("select src_id as id, case when bool_and(conf = 'strong') then 'strong' else 'weak' end as conf from fx_calls group by src_id", ("fx_calls",))
@@ -388,19 +394,19 @@ def aggregate_conf(spark: SparkSession, sf: str) -> DataFrame:
     recursive=True,
 )
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return components.connected_components(view(spark, sf, "fx_calls").where("edge_id % 8 = 0"), "src_id", "dst_id")
+    return components.connected_components(stored(spark, sf, "fx_calls").where("edge_id % 8 = 0"), "src_id", "dst_id")
 
 
 @query()
 def communities(spark: SparkSession, sf: str) -> DataFrame:
     nodes = view(spark, sf, "fx_nodes")
-    clusters, found = derive.communities(derive.derive_input(nodes, view(spark, sf, "fx_calls"))[1], nodes)
+    clusters, found = derive.communities(derive.derive_input(nodes, stored(spark, sf, "fx_calls"))[1], nodes)
     return found.groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).join(clusters, "number")
 
 
 @query()
 def derived_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return derive.derived_rows(view(spark, sf, "fx_nodes"), view(spark, sf, "fx_calls"))[1]
+    return derive.derived_rows(view(spark, sf, "fx_nodes"), stored(spark, sf, "fx_calls"))[1]
 
 
 # -- changes ------------------------------------------------------------------------------------------------------
@@ -426,7 +432,7 @@ def changed_symbols(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {_HUNKS}, {_CHANGED}, {_levels('ch')[5:]} select cast(depth as bigint) as depth, n.id, n.file_path, n.start_line from ({_hop_rows()}) x join fx_nodes n on n.id = x.src_id", ("fx_diff", "fx_nodes", "fx_calls"))
 def affected(spark: SparkSession, sf: str) -> DataFrame:
     nodes = view(spark, sf, "fx_nodes")
-    _, hit, _ = changes.impact(nodes, view(spark, sf, "fx_calls"), changes.parse_hunks(view(spark, sf, "fx_diff")))
+    _, hit, _ = changes.impact(nodes, stored(spark, sf, "fx_calls"), changes.parse_hunks(view(spark, sf, "fx_diff")))
     return hit.select(*_long("depth"), "id", "file_path", "start_line")
 
 
