@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symlattice.functions.text import bag, document, fnv_bucket, sign, tokens
+from symlattice.functions.text import bag, document, fnv_bucket, sign
 
 RRF_K, VECTOR_TOP, SEARCH_LIMIT, FTS_LEAST = 60, 50, 25, 25
 #: Node kinds that get a vector.
