@@ -3,7 +3,8 @@
 Each document is measured once. For every (language, source) a KLL sketch of each measure is built;
 sketches merge upwards into languages and the whole corpus. Thresholds are fences around the bulk of
 the group a document belongs to, taken from the first level with enough rows; they are joined to the
-documents, which are kept if they pass all of them and the base rules.
+documents, which are kept if they pass all of them and the base rules. Sketches hold the documents that
+pass the base rules: what is out already moves no fence.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from symlattice.plans.scratch import scratch
 
 #: A group needs so many rows for thresholds of its own; else its language's are taken, else the corpus's.
 MIN_GROUP = 200
-#: Fences: so many times the distance from a low quantile to the median, above the median; at least the floor.
-#: measure -> (low quantile, factor, least threshold)
+#: Fences: an upper quantile, and so many times its distance from the median above it; the small margin is for groups without spread.
+#: A share of clean documents, up to a few in a hundred, repeats lines or passages, so that their spread is in the tail.
+#: measure -> (upper quantile, factor, margin)
 FENCES = {
-    "symbol_ratio": (0.05, 6.0, 0.08),
-    "dup_line_ratio": (0.05, 6.0, 0.50),
-    "repeat_ratio": (0.05, 6.0, 0.30),
-    "stutter_ratio": (0.05, 6.0, 0.25),
-    "word_length": (0.05, 6.0, 9.0),
+    "symbol_ratio": (0.75, 8.0, 0.02),
+    "dup_line_ratio": (0.98, 2.0, 0.05),
+    "repeat_ratio": (0.98, 2.0, 0.05),
+    "stutter_ratio": (0.75, 8.0, 0.02),
+    "word_length": (0.75, 8.0, 0.10),
 }
 SKETCH_K = 400
 
@@ -95,10 +97,10 @@ def thresholds(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     joined = joined.crossJoin(F.broadcast(overall))  # one row
 
     def fence(c: str) -> Column:
-        low, factor, least = FENCES[c]
+        high, factor, margin = FENCES[c]
         chosen = F.when(F.col("n") >= min_group, F.col(c)).when(F.col("lang_n") >= min_group, F.col(f"up_{c}")).otherwise(F.col(f"all_{c}"))
-        mid, bottom = F.kll_sketch_get_quantile_double(chosen, F.lit(0.5)), F.kll_sketch_get_quantile_double(chosen, F.lit(low))
-        return F.greatest(mid + factor * (mid - bottom), F.lit(least)).alias(f"max_{c}")
+        mid, top = F.kll_sketch_get_quantile_double(chosen, F.lit(0.5)), F.kll_sketch_get_quantile_double(chosen, F.lit(high))
+        return (top + factor * (top - mid) + margin).alias(f"max_{c}")
 
     return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[fence(c) for c in FENCES])
 
@@ -113,9 +115,10 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     combine (so that a hot source is no hot task) and joined to the thresholds, a row for each group.
     """
     measured = ratios(scratch(measures(docs.withColumn("text_hash", F.xxhash64("text")), "doc_id", "text_hash", "lang", "source")))
-    limits = thresholds(measured, min_group)
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_lang", "t_source")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    limits = thresholds(measured.where(~base), min_group)
+    # a group without limits has no row that passes the base rules
+    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_lang", "t_source")
     passes = F.lit(True)
     for c in FENCES:
         passes = passes & (F.col(c) <= F.col(f"max_{c}"))

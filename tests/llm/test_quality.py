@@ -45,3 +45,25 @@ def test_thresholds_follow_the_group(spark):
     rows = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(clean + marked + odd, "doc_id long, text string, lang string, source string")).collect()}
     assert not rows[5000].kept and all(rows[i].kept for i in range(300))
     assert rows[1000].max_symbol_ratio >= rows[0].max_symbol_ratio
+
+
+def test_fences_tighten_and_loosen(spark):
+    plain = lambda i, n=60: [f"w{1000 + (i * 31 + j * 7) % 4000}" for j in range(n)]
+    again = lambda i, k: " ".join([*plain(i), *plain(i)[:k]])
+    # every other document of source "loose" has its first 8 words twice: 16 of 68 words are in repeated windows
+    docs = [(i, " ".join(plain(i)), "en", "tight") for i in range(300)] + [(1000 + i, again(i, 8 * (i % 2)), "en", "loose") for i in range(300)]
+    docs += [(5000, again(7, 8), "en", "tight"), (5001, " ".join([*plain(8), "#"]), "en", "tight"), (5002, " ".join([*plain(8), "#" * 10]), "en", "tight")]
+    rows = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(rows[i].kept for i in range(300)) and all(rows[1000 + i].kept for i in range(300))
+    # the same text: out where no other repeats words, in where half of all do
+    assert rows[5000].repeat_ratio == rows[1007].repeat_ratio and not rows[5000].base_failed
+    assert not rows[5000].kept and rows[1007].kept
+    assert rows[5000].max_repeat_ratio < 0.25 < rows[1007].max_repeat_ratio
+    assert rows[5001].kept and 0.02 < rows[5002].symbol_ratio < 0.08 and not rows[5002].kept
+
+
+def test_documents_that_fail_the_base_rules_move_no_fence(spark):
+    good = [(i, " ".join(f"w{1000 + (i * 31 + j * 7) % 4000}" for j in range(60)), "en", "a") for i in range(300)]
+    bad = [(1000 + i, "# | # |", "en", "a") for i in range(300)]
+    rows = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
+    assert rows[0].max_symbol_ratio < 0.03 and all(rows[i].kept == (i < 1000) for i in rows)
