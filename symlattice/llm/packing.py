@@ -1,13 +1,13 @@
 """Operator 3: packing with a controlled mixture, by deficit round-robin over source queues.
 
-Every source has a queue of documents. In each round source *s* is credited with
-``window * p_s`` tokens (its quantum; ``p`` are the target proportions) and then sends documents
-while its deficit counter lasts; what is left is carried into the next round. As a queue's counter is
-kept until the queue is empty, the document that ends at token *c* of its queue is sent in round
-``ceil(c / quantum)``. So the whole schedule, deficits carried over all windows and partitions
-included, follows from running sums of token counts, which are computed in parallel; no task walks
-the queues one after the other, and the result doesn't depend on how the input is partitioned.
-The schedule's documents form one stream that is cut into windows.
+Every source has a queue of documents, read as one run of ids. In each round source *s* is credited with
+``window * p_s`` ids (its quantum; ``p`` are the target proportions) and sends as many whole ids as its credit
+holds; the fraction left is carried into the next round. So after round *r* a queue has sent
+``min(size, floor(r * quantum))`` ids, documents are cut where a round ends, and a round's parts lie
+behind each other in the order of queues. The place of any id, deficits carried over all windows and
+partitions included, follows from its place in its queue and the table of queues; no task walks the queues one
+after the other, and the result doesn't depend on how the input is partitioned. The stream of rounds is
+cut into windows. A round is short of a window by less than one id a queue, so a window is that near its targets.
 """
 
 from __future__ import annotations
@@ -28,37 +28,71 @@ WINDOW = 1024
 PIECES_SCHEMA = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
 
 
-def drr_schedule(tokens: DataFrame, window: int, weights: dict[str, float] | None = None) -> DataFrame:
-    """(rid, global_start): where each row of a token table starts in the packed stream.
+def drr_schedule(tokens: DataFrame, window: int, weights: dict[str, float] | None = None) -> tuple[DataFrame, Queues]:
+    """(rid, before) of a token table's rows, and the queues: ``before`` counts the ids before a row, queue after queue.
 
     Targets are ``weights`` by source, or each source's share of all tokens. A source without a
-    weight, or with one of 0 or less, is sent after all others. Queues are in the order of a hash of
+    weight, or with one of 0 or less, is sent after all others. Sources whose quantum is below one id share
+    a queue, so that there are at most ``window`` + 2 of them. Queues are in the order of a hash of
     doc_id; a null source is a queue as any other.
     """
     narrow = tokens.select("rid", "doc_id", "source", "n_tokens", F.xxhash64("doc_id").alias("place"))
-    queued = ordered_cumsum(narrow, ["source", "place", "doc_id", "rid"], "n_tokens", "before")
-    queued = scratch(queued)
-    # one row a source: the queue's first token in the order of all queues, and its tokens
-    sources = queued.groupBy("source").agg(F.min("before").alias("base"), F.sum("n_tokens").alias("source_tokens"))
+    sources = scratch(narrow.groupBy("source").agg(F.sum("n_tokens").alias("size")))
     if weights is None:
-        share = F.col("source_tokens").cast("double")
+        share = F.col("size").cast("double")
     else:
         table = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
-        share = F.coalesce(F.try_element_at(table, F.coalesce("source", F.lit(""))), F.lit(0.0))
+        share = F.greatest(F.coalesce(F.try_element_at(table, F.coalesce("source", F.lit(""))), F.lit(0.0)), F.lit(0.0))
     total = sources.select(F.sum(share).alias("all"))
-    quanta = sources.crossJoin(F.broadcast(total)).select(  # a row for each source, and one row
-        F.col("source").alias("queue"), "base", F.when((share > 0) & (F.col("all") > 0), share / F.col("all") * window).alias("quantum")
-    )
-    rounds = queued.join(quanta, F.col("source").eqNullSafe(F.col("queue"))).select(
-        "rid",
-        "source",
-        "place",
-        "doc_id",
-        "n_tokens",
-        F.coalesce(F.ceil((F.col("before") - F.col("base") + F.col("n_tokens")) / F.col("quantum")), F.lit(2**62)).alias("round"),
-    )
-    sent = ordered_cumsum(rounds, ["round", "source", "place", "doc_id", "rid"], "n_tokens", "global_start")
-    return sent.select("rid", "global_start")
+    quanta = sources.crossJoin(F.broadcast(total)).select("source", "size", F.when((share > 0) & (F.col("all") > 0), share / F.col("all") * window).alias("quantum"))  # one row
+    own, joint, late = F.lit(0), F.lit(1), F.lit(2)
+    quanta = quanta.withColumn("kind", F.when(F.col("quantum") >= 1, own).when(F.col("quantum").isNotNull(), joint).otherwise(late)).withColumn("queue", F.when(F.col("kind") == own, F.col("source")))
+    found = quanta.groupBy("kind", "queue").agg(F.sum("size").alias("size"), F.sum("quantum").alias("quantum")).orderBy("kind", "queue").collect()  # at most window + 2 rows
+    named = quanta.select(F.col("source").alias("of"), "kind", "queue")
+    rows = narrow.join(named, F.col("source").eqNullSafe(F.col("of"))).withColumn("last", F.when(F.col("kind") == late, F.col("source")))
+    queued = ordered_cumsum(rows.drop("of", "source"), ["kind", "queue", "last", "place", "doc_id", "rid"], "n_tokens", "before")
+    return queued.select("rid", "before"), Queues([r["size"] for r in found], [r["quantum"] for r in found])
+
+
+class Queues:
+    """Where ids of queues are in the stream of rounds. Queues without a quantum (None) come last, after the rounds."""
+
+    def __init__(self, sizes: list[int], quanta: list[float | None]):
+        self.size = np.array(sizes, np.int64)
+        self.base = np.cumsum(self.size) - self.size
+        self.quantum = np.array([q or 0.0 for q in quanta])
+        self.n = int((self.quantum > 0).sum())
+
+    def sent(self, k: int | slice, rounds: np.ndarray) -> np.ndarray:
+        return np.minimum(self.size[k], np.floor(rounds * self.quantum[k]).astype(np.int64))
+
+    def round_of(self, k: int, at: np.ndarray) -> np.ndarray:
+        """The round that sends each of the queue's ids ``at``: the first after which more than ``at`` are sent."""
+        r = np.ceil((at + 1) / self.quantum[k])
+        r += np.floor(r * self.quantum[k]) <= at
+        return r - (np.floor((r - 1) * self.quantum[k]) > at)
+
+    def parts(self, before: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, place in the stream) of each part of a document of ``n`` ids that lies in one piece in the stream."""
+        k = int(np.searchsorted(self.base, before, "right")) - 1
+        if k >= self.n:
+            return np.zeros(1, np.int64), np.array([before])
+        c = before - int(self.base[k])
+        if self.quantum[k] >= 1:
+            first, last = self.round_of(k, np.array([c, c + n - 1]))
+            rounds = np.arange(first, last + 1)
+        else:
+            rounds = np.unique(self.round_of(k, np.arange(c, c + n)))
+        start = self.sent(k, rounds - 1)
+        place = np.empty(len(rounds), np.int64)
+        step = max(1, (1 << 20) // self.n)
+        for i in range(0, len(rounds), step):
+            r = rounds[i : i + step, None]
+            place[i : i + step] = self.sent(slice(0, k), r).sum(1) + self.sent(slice(k, self.n), r - 1).sum(1)
+        place += np.maximum(start, c) - start
+        start = np.maximum(start, c) - c
+        new = np.concatenate([[True], np.diff(place) != np.diff(start)])
+        return start[new], place[new]
 
 
 def cuts(total: int, window: int) -> tuple[int, list[int]]:
@@ -72,49 +106,65 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, we
 
     Reads doc_id, text and source; other columns are left out, whatever their names. ``ids`` holds
     little-endian unsigned 32-bit ids. Each id of each document, its end id included, is in exactly
-    one piece. All sequences have ``window`` ids, but the last few, which are powers of two; so
+    one piece, and a piece ends where a round or a sequence does. All sequences have ``window`` ids, but the last few, which are powers of two; so
     none needs padding. A null or empty text is its end id alone; rows that repeat are packed each;
     an empty table gives no piece. A very long text is cut over as many sequences as it needs.
 
-    Plan: the texts are read once and tokenised where they lie; the ids are written, the schedule is
-    made from narrow rows, and one shuffle joins it to the ids.
+    Plan: the texts are read once and tokenised where they lie; the ids are written, places in queues are
+    summed over narrow rows, and one shuffle joins them to the ids.
     """
     tokenizer = tokenizer or default_tokenizer()
     bounded_batches(docs.sparkSession)
     kind = id_type(tokenizer)
     tokens = scratch(token_table(docs, tokenizer, kind, end_id))
-    plan = drr_schedule(tokens, window, weights)
+    plan, queues = drr_schedule(tokens, window, weights)
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     full, tail = cuts(total, window)
-    starts = np.array([full * window + sum(tail[:i]) for i in range(len(tail) + 1)])
+    starts = full * window + np.cumsum([0, *tail])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            held = 0
-            for doc, source, n, ids, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "ids", "global_start")), strict=True):
-                ids = np.frombuffer(ids, kind).astype("<u4")
-                edges = [at, *range(at // window * window + window, min(at + n, full * window + 1), window)]
-                edges += [int(x) for x in starts if at < x < at + n and x > full * window]
-                for a, b in zip(edges, [*edges[1:], at + n], strict=True):
-                    if a >= b:
-                        continue
-                    if a < full * window:
-                        seq, first, length = a // window, a // window * window, window
-                    else:
-                        k = int(np.searchsorted(starts, a, "right")) - 1
-                        seq, first, length = full + k, int(starts[k]), tail[k]
-                    for values, x in zip(out, (doc, source, a - at, b - a, n, seq, a - first, length, ids[a - at : b - at].tobytes()), strict=True):
-                        values.append(x)
-                    held += b - a
+            out, rows, held = [], [], 0
+            for row, (n, before) in enumerate(zip(batch.column("n_tokens").to_pylist(), batch.column("before").to_pylist(), strict=True)):
+                start, place = queues.parts(before, n)
+                end = place + np.diff(start, append=n)
+                # the edges of windows, or of the sequences after them, within each part
+                lo, hi = place // window + 1, np.minimum((end - 1) // window, full)
+                many = np.maximum(hi - lo + 1, 0)
+                part = np.repeat(np.arange(len(start)), many)
+                edge = (lo[part] + np.arange(len(part)) - np.repeat(np.cumsum(many) - many, many)) * window
+                more = [(i, x) for x in starts[1:] for i in np.flatnonzero((place < x) & (x < end))] if end.max() > full * window else []
+                part, edge = np.concatenate([part, np.array([i for i, _ in more], np.int64)]), np.concatenate([edge, np.array([x for _, x in more], np.int64)])
+                a = np.concatenate([start, start[part] + edge - place[part]])
+                g = np.concatenate([place, edge])
+                order = np.argsort(a)
+                a, g = a[order], g[order]
+                late = np.searchsorted(starts, g, "right") - 1
+                whole = g < full * window
+                seq = np.where(whole, g // window, full + late)
+                first = np.where(whole, g // window * window, starts[late])
+                length = np.where(whole, window, np.array([*tail, 0])[late])
+                out.append((a, np.diff(a, append=n), np.full(len(a), n), seq, g - first, length))
+                rows.append(row)
+                held += n
                 if held > 1 << 20:
-                    yield pa.record_batch([pa.array(v, t) for v, t in zip(out, PIECE_TYPES, strict=True)], PIECE_NAMES)
-                    out, held = [[] for _ in range(9)], 0
-            if out[0]:
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(out, PIECE_TYPES, strict=True)], PIECE_NAMES)
+                    yield pieces(batch, rows, out)
+                    out, rows, held = [], [], 0
+            if rows:
+                yield pieces(batch, rows, out)
+
+    def pieces(batch: pa.RecordBatch, rows: list[int], out: list[tuple]) -> pa.RecordBatch:
+        start, length, tokens, seq, offset, seq_length = (np.concatenate(x) for x in zip(*out, strict=True))
+        of = pa.array(np.repeat(rows, [len(x[0]) for x in out]))
+        # a document's pieces follow each other as its ids do
+        ids = np.frombuffer(b"".join(batch.column("ids")[r].as_py() for r in rows), kind).astype("<u4")
+        ends = np.concatenate([[0], 4 * np.cumsum(length)]).astype("<i4")
+        blobs = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.tobytes())])
+        columns = [batch.column("doc_id").take(of), batch.column("source").take(of), start, length, tokens, seq, offset, seq_length, blobs]
+        return pa.record_batch([x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, PIECE_TYPES, strict=True)], PIECE_NAMES)
 
     # the plan is a fraction of the ids: it is the hashed side, and the ids aren't sorted
-    placed = tokens.join(plan.hint("shuffle_hash"), "rid").select("doc_id", "source", "n_tokens", "ids", "global_start")
+    placed = tokens.join(plan.hint("shuffle_hash"), "rid").select("doc_id", "source", "n_tokens", "ids", "before")
     return placed.mapInArrow(cut, PIECES_SCHEMA)
 
 

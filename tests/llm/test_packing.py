@@ -58,6 +58,38 @@ def test_every_id_is_in_one_piece(documents):
     assert len(digest) == len(pieces)
 
 
+def test_every_full_window_has_the_target_proportions(documents):
+    pieces = packing.pack(documents).collect()
+    sizes, windows = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for p in pieces:
+        sizes[p.source] += p.length
+        if p.sequence_length == 1024:
+            windows[p.sequence_id][p.source] += p.length
+    total = sum(sizes.values())
+    assert len(windows) == total // 1024
+    for w in windows.values():
+        # rounds are short of a window by less than one id a queue
+        assert all(abs(w[s] - 1024 * n / total) < len(sizes) for s, n in sizes.items())
+        assert sum(abs(w[s] - 1024 * n / total) for s, n in sizes.items()) / 2048 < 0.02
+
+
+def test_queues_place_every_id_once():
+    rng = np.random.default_rng(3)
+    for sizes, quanta in (([900, 50, 50, 3], [900.0, 50.0, 50.0, 3.0]), ([700, 20, 5, 40], [7.0, 2.5, 0.01, None]), ([5], [0.3]), ([4000], [64.0])):
+        t = sum(q or 0 for q in quanta)
+        q = packing.Queues(sizes, [x and 16 * x / t for x in quanta])
+        seen, base = [], 0
+        for size in sizes:
+            c = [0, *sorted(set(rng.integers(1, size, 6).tolist())), size]
+            for a, b in zip(c, c[1:], strict=False):
+                start, place = q.parts(base + a, b - a)
+                for s, e, g in zip(start, [*start[1:], b - a], place, strict=True):
+                    assert e > s
+                    seen += range(g, g + e - s)
+            base += size
+        assert sorted(seen) == list(range(sum(sizes)))
+
+
 def test_awkward_rows(awkward, empty):
     check(awkward, 128)
     assert packing.pack(empty).count() == 0 and binary_output.packed_matrices(empty).count() == 0
