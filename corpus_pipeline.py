@@ -44,12 +44,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return out.select(*[F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
 
 
+def pack_in_order(docs: DataFrame) -> DataFrame:
+    """Packed in the training order in which the mixing stage wrote its rows: by part, file of the part, and row of the file."""
+    part = lambda p: F.coalesce(F.try_to_number(F.regexp_extract("_metadata.file_name", p, 1), F.lit("9999999999")), F.lit(0)).cast("long")
+    place = F.shiftleft(part(r"^part-(\d+)"), 44) + F.shiftleft(part(r"-c(\d+)[^-]*$"), 34) + F.col("_metadata.row_index")
+    return packing.pack(docs.select("doc_id", "text", "source", place.alias("place")), order="place")
+
+
 STAGES = [
     ("quality rules", _stage(quality_rules, first=True)),
     ("line dedup", _stage(dedup_lines)),
     ("near dedup", _stage(near_dedup.keep_first)),
     ("mixing", _stage(mixing.training_order)),
-    ("packing", _stage(packing.pack, last=True)),
+    ("packing", _stage(pack_in_order, last=True)),
 ]
 
 #: Edit distances, components and tokens are beyond SQL; the stages are tested against brute force.

@@ -25,43 +25,58 @@ from symlattice.plans.prefix import ordered_cumsum
 from symlattice.plans.scratch import scratch
 
 WINDOW = 1024
+#: Documents in a given order are packed in so many phases at most, each of so many windows at least.
+PHASES = 64
+PHASE_WINDOWS = 64
 PIECES_SCHEMA = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
 
 
-def drr_schedule(tokens: DataFrame, window: int, weights: dict[str, float] | None = None) -> tuple[DataFrame, Queues]:
+def drr_schedule(tokens: DataFrame, window: int, weights: dict[str, float] | None = None, total: int = 0) -> tuple[DataFrame, Queues]:
     """(rid, before) of a token table's rows, and the queues: ``before`` counts the ids before a row, queue after queue.
 
     Targets are ``weights`` by source, or each source's share of all tokens. A source without a
     weight, or with one of 0 or less, is sent after all others. Sources whose quantum is below one id share
-    a queue, so that there are at most ``window`` + 2 of them. Queues are in the order of a hash of
-    doc_id; a null source is a queue as any other.
+    a queue, so that there are at most ``window`` + 2 of them. Queues are in the order of ``place``, if the
+    table has it, else of a hash of doc_id; a null source is a queue as any other.
+
+    With a place and without weights the order's own mixture is kept as it changes: its ``total`` ids are
+    split into phases of equal length, one after the other, and targets are the shares of each phase.
     """
-    narrow = tokens.select("rid", "doc_id", "source", "n_tokens", F.xxhash64("doc_id").alias("place"))
-    sources = scratch(narrow.groupBy("source").agg(F.sum("n_tokens").alias("size")))
+    ordered = "place" in tokens.columns
+    narrow = tokens.select("rid", "doc_id", "source", "n_tokens", F.col("place") if ordered else F.xxhash64("doc_id").alias("place"))
+    phases = min(PHASES, total // (window * PHASE_WINDOWS)) if ordered and weights is None else 1
+    if phases > 1:
+        narrow = ordered_cumsum(narrow, ["place", "doc_id", "rid"], "n_tokens", "order_before")
+        narrow = scratch(narrow.withColumn("phase", F.floor(F.col("order_before") / total * phases).cast("int")).drop("order_before"))
+    else:
+        narrow = narrow.withColumn("phase", F.lit(0))
+    sources = scratch(narrow.groupBy("phase", "source").agg(F.sum("n_tokens").alias("size")))
     if weights is None:
         share = F.col("size").cast("double")
     else:
         table = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
         share = F.greatest(F.coalesce(F.try_element_at(table, F.coalesce("source", F.lit(""))), F.lit(0.0)), F.lit(0.0))
-    total = sources.select(F.sum(share).alias("all"))
-    quanta = sources.crossJoin(F.broadcast(total)).select("source", "size", F.when((share > 0) & (F.col("all") > 0), share / F.col("all") * window).alias("quantum"))  # one row
+    every = sources.groupBy("phase").agg(F.sum(share).alias("all"))
+    quanta = sources.join(F.broadcast(every), "phase").select("phase", "source", "size", F.when((share > 0) & (F.col("all") > 0), share / F.col("all") * window).alias("quantum"))  # a row for each phase
     own, joint, late = F.lit(0), F.lit(1), F.lit(2)
     quanta = quanta.withColumn("kind", F.when(F.col("quantum") >= 1, own).when(F.col("quantum").isNotNull(), joint).otherwise(late)).withColumn("queue", F.when(F.col("kind") == own, F.col("source")))
-    found = quanta.groupBy("kind", "queue").agg(F.sum("size").alias("size"), F.sum("quantum").alias("quantum")).orderBy("kind", "queue").collect()  # at most window + 2 rows
-    named = quanta.select(F.col("source").alias("of"), "kind", "queue")
-    rows = narrow.join(named, F.col("source").eqNullSafe(F.col("of"))).withColumn("last", F.when(F.col("kind") == late, F.col("source")))
-    queued = ordered_cumsum(rows.drop("of", "source"), ["kind", "queue", "last", "place", "doc_id", "rid"], "n_tokens", "before")
-    return queued.select("rid", "before"), Queues([r["size"] for r in found], [r["quantum"] for r in found])
+    found = quanta.groupBy("phase", "kind", "queue").agg(F.sum("size").alias("size"), F.sum("quantum").alias("quantum")).orderBy("phase", "kind", "queue").collect()  # at most window + 2 rows a phase
+    named = quanta.select(F.col("phase").alias("of_phase"), F.col("source").alias("of"), "kind", "queue")
+    rows = narrow.join(named, (F.col("phase") == F.col("of_phase")) & F.col("source").eqNullSafe(F.col("of"))).withColumn("last", F.when(F.col("kind") == late, F.col("source")))
+    queued = ordered_cumsum(rows.drop("of_phase", "of", "source"), ["phase", "kind", "queue", "last", "place", "doc_id", "rid"], "n_tokens", "before")
+    return queued.select("rid", "before"), Queues(*([r[c] for r in found] for c in ("size", "quantum", "phase")))
 
 
 class Queues:
-    """Where ids of queues are in the stream of rounds. Queues without a quantum (None) come last, after the rounds."""
+    """Where ids of queues are in the stream of rounds, phase after phase. Queues without a quantum (None) come last, after the rounds of their phase."""
 
-    def __init__(self, sizes: list[int], quanta: list[float | None]):
+    def __init__(self, sizes: list[int], quanta: list[float | None], phases: list[int] | None = None):
         self.size = np.array(sizes, np.int64)
         self.base = np.cumsum(self.size) - self.size
         self.quantum = np.array([q or 0.0 for q in quanta])
-        self.n = int((self.quantum > 0).sum())
+        of = np.array(phases or [0] * len(sizes))
+        # for each queue: the first queue of its phase, and the one after the last with a quantum
+        self.first, self.end = np.searchsorted(of, of), np.searchsorted(of, of) + np.array([int(((of == p) & (self.quantum > 0)).sum()) for p in of], np.int64)
 
     def sent(self, k: int | slice, rounds: np.ndarray) -> np.ndarray:
         return np.minimum(self.size[k], np.floor(rounds * self.quantum[k]).astype(np.int64))
@@ -75,7 +90,8 @@ class Queues:
     def parts(self, before: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, place in the stream) of each part of a document of ``n`` ids that lies in one piece in the stream."""
         k = int(np.searchsorted(self.base, before, "right")) - 1
-        if k >= self.n:
+        low, high = int(self.first[k]), int(self.end[k])
+        if k >= high:
             return np.zeros(1, np.int64), np.array([before])
         c = before - int(self.base[k])
         if self.quantum[k] >= 1:
@@ -85,11 +101,11 @@ class Queues:
             rounds = np.unique(self.round_of(k, np.arange(c, c + n)))
         start = self.sent(k, rounds - 1)
         place = np.empty(len(rounds), np.int64)
-        step = max(1, (1 << 20) // self.n)
+        step = max(1, (1 << 20) // (high - low))
         for i in range(0, len(rounds), step):
             r = rounds[i : i + step, None]
-            place[i : i + step] = self.sent(slice(0, k), r).sum(1) + self.sent(slice(k, self.n), r - 1).sum(1)
-        place += np.maximum(start, c) - start
+            place[i : i + step] = self.sent(slice(low, k), r).sum(1) + self.sent(slice(k, high), r - 1).sum(1)
+        place += self.base[low] + np.maximum(start, c) - start
         start = np.maximum(start, c) - c
         new = np.concatenate([[True], np.diff(place) != np.diff(start)])
         return start[new], place[new]
@@ -101,10 +117,11 @@ def cuts(total: int, window: int) -> tuple[int, list[int]]:
     return full, [1 << b for b in reversed(range(window.bit_length())) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, weights: dict[str, float] | None = None, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, weights: dict[str, float] | None = None, end_id: int = 0, order: str | None = None) -> DataFrame:
     """Pieces of documents in sequences: doc_id, source, start, length, doc_tokens, sequence_id, offset, sequence_length, ids.
 
-    Reads doc_id, text and source; other columns are left out, whatever their names. ``ids`` holds
+    Reads doc_id, text, source and ``order``, a column that queues and the mixture over time follow
+    (without it, queues are in hash order); other columns are left out, whatever their names. ``ids`` holds
     little-endian unsigned 32-bit ids. Each id of each document, its end id included, is in exactly
     one piece, and a piece ends where a round or a sequence does. All sequences have ``window`` ids, but the last few, which are powers of two; so
     none needs padding. A null or empty text is its end id alone; rows that repeat are packed each;
@@ -116,9 +133,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, we
     tokenizer = tokenizer or default_tokenizer()
     bounded_batches(docs.sparkSession)
     kind = id_type(tokenizer)
-    tokens = scratch(token_table(docs, tokenizer, kind, end_id))
-    plan, queues = drr_schedule(tokens, window, weights)
+    tokens = scratch(token_table(docs, tokenizer, kind, end_id, order))
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    plan, queues = drr_schedule(tokens, window, weights, total)
     full, tail = cuts(total, window)
     starts = full * window + np.cumsum([0, *tail])
 

@@ -23,8 +23,8 @@ def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def token_table(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 0) -> DataFrame:
-    """One row a document: its ids, then ``end_id``. ``rid`` tells rows apart once the table is written.
+def token_table(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 0, order: str | None = None) -> DataFrame:
+    """One row a document: its ids, then ``end_id``. ``rid`` tells rows apart once the table is written; ``order``, a column, is kept as place.
 
     A null text is empty: the end id alone. Ids are little-endian, ``kind`` wide.
     """
@@ -40,12 +40,15 @@ def token_table(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 0) ->
                     batch.column("source").cast(pa.string()),
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([x.tobytes() for x in ids], pa.binary()),
+                    *([batch.column("place")] if order else []),
                 ],
-                ["rid", "doc_id", "source", "n_tokens", "ids"],
+                ["rid", "doc_id", "source", "n_tokens", "ids", *(["place"] if order else [])],
             )
             at += len(ids)
 
-    return docs.select("doc_id", "source", F.col("text").cast("string")).mapInArrow(encode, TOKENS_SCHEMA)
+    place = [F.col(order).alias("place")] if order else []
+    rows = docs.select("doc_id", "source", F.col("text").cast("string"), *place)
+    return rows.mapInArrow(encode, TOKENS_SCHEMA + (f", place {rows.schema['place'].dataType.simpleString()}" if order else ""))
 
 
 def crc(ids: np.ndarray) -> int:

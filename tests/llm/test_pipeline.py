@@ -1,7 +1,7 @@
 import corpus_pipeline as p
 from pyspark.sql import functions as F
 
-from symlattice.llm import quality
+from symlattice.llm import mixing, quality
 
 
 def test_each_stage_works_on_what_the_one_before_kept(spark, tmp_path):
@@ -33,3 +33,34 @@ def test_awkward_rows(spark, awkward, empty, tmp_path):
             stage(spark, docs, "").write.parquet(str(tmp_path / f"{name}{k}"))
             docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
         assert docs.agg(F.count("sequence_id")).first()[0] >= 0
+
+
+def _packed_places(spark, documents, folder):
+    """(doc_id, copy) -> share of the stream before it, and the ids of each (source, half of the stream)."""
+    mixing.training_order(documents).write.parquet(folder)
+    pieces = [r for r in p.pack_in_order(spark.read.parquet(folder)).select("doc_id", "source", "start", "length", "sequence_id", "offset").collect()]
+    total = sum(r.length for r in pieces)
+    firsts, halves = {}, {}
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        at = (1024 * r.sequence_id + r.offset) / total
+        halves[r.source, at >= 0.5] = halves.get((r.source, at >= 0.5), 0) + r.length
+        if r.start == 0:
+            firsts.setdefault(r.doc_id, []).append(at)
+    return firsts, halves
+
+
+def test_packing_follows_the_curriculum(spark, documents, tmp_path, monkeypatch):
+    plan = {r.doc_id: r for r in mixing.mix(documents).collect()}
+    firsts, halves = _packed_places(spark, documents, str(tmp_path / "a"))
+    twice = [d for d, r in plan.items() if r.copies == 2]
+    assert twice and {d: len(x) for d, x in firsts.items()} == {d: r.copies for d, r in plan.items() if r.copies}
+    # copies are as far apart as their positions: one pass of their source
+    far = sorted(abs((firsts[d][1] - firsts[d][0]) - (max(plan[d].positions) - min(plan[d].positions))) for d in twice)
+    # (about ten documents a source in four phases: single ones are off by up to a phase on either side)
+    assert far[len(far) // 2] < 0.1 and min(firsts[d][1] - firsts[d][0] for d in twice) > 0.05
+    monkeypatch.setattr(mixing, "SLOPES", (0.0, 0.0, 0.0))
+    flat, flat_halves = _packed_places(spark, documents, str(tmp_path / "b"))
+    names = sorted({s for s, _ in halves})
+    late = lambda h, k: sum(h.get((s, True), 0) for s in names[k::3]) / sum(h.get((s, b), 0) for s in names[k::3] for b in (False, True))
+    assert firsts != flat
+    assert late(halves, 0) < late(flat_halves, 0) - 0.03 and late(halves, 2) > late(flat_halves, 2) + 0.03
