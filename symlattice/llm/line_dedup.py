@@ -1,10 +1,11 @@
 """Operator 8: line dedup by a segment-partition edit join.
 
 A line is removed if an earlier line (by document, then by number) is equal to it or within
-``THRESHOLD`` edits. Two lines within that many edits share, unchanged, at least one of threshold-plus-one
-segments into which the shorter is cut: so each distinct line is entered under its segments, and probed with
-the substrings, few for each length, at which such a segment can lie (multi-match-aware selection). Pairs that
-meet are verified by the edit distance within a diagonal band. Everything is DataFrame operations.
+``THRESHOLD`` edits. Of threshold-plus-one segments of the shorter of two such lines at least one is unchanged, and lies
+in the longer one at one of few places (multi-match-aware selection). Segments are the same for all lines of a
+class of lengths: so a distinct line is entered under its segments, and probes with one substring for each place in its
+own class, and, if it is near the lower edge of that, in the class below. Pairs that
+meet are verified by a bit-parallel edit distance within a diagonal band. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -19,38 +20,38 @@ from symlattice.plans.scratch import discard, scratch
 THRESHOLD = 2
 #: Shorter lines (code points) are left alone: within two edits of each other they may say different things.
 MIN_LENGTH = 20
+#: Growth of a segment from one class of lengths to the next; a class spans so many lengths for each segment.
+STEP = 2
 #: Pairs of neighbouring characters that an edit takes away or adds, at most.
 CHANGED = 4
+#: Lines entered under one key that a task holds against its probes; a key with more is dealt over several.
+BLOCK = 2048
 
 
-def segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of the ``i``-th (from 1) of ``parts`` segments; the shorter ones come first."""
-    rest = F.pmod(length, F.lit(parts))
-    base, short = ((length - rest) / parts).cast("int"), parts - rest
-    return (i - 1) * base + F.greatest(F.lit(0), i - 1 - short) + 1, base + (short < i).cast("int")
-
-
-def selections(threshold: int) -> list[tuple[int, int, int]]:
-    """(how much shorter the entered line is, segment, shift of its place): where a segment may be found, each once."""
+def places(threshold: int) -> list[tuple[int, int]]:
+    """(segment, shift): where a segment of a shorter line may be found in a longer one. The last is counted from the end, where its shift is 0."""
     parts = threshold + 1
-    return [
-        (shorter, i, by)
-        for shorter in range(threshold + 1)
-        for i in range(1, parts + 1)
-        for by in range(max(1 - i, shorter - (parts - i)), min(i - 1, shorter + parts - i) + 1)
-    ]
-
-
-def keyed(lines: DataFrame, choices: list[tuple[int, int, int]], threshold: int) -> DataFrame:
-    """The lines' other columns and key: a row for each choice, made by one small expression that is run for each of them."""
-    table = F.inline(F.array(*[F.struct(F.lit(a).alias("shorter"), F.lit(i).alias("i"), F.lit(b).alias("by")) for a, i, b in choices]))
-    keep = [c for c in lines.columns if c not in ("line", "length")]
-    rows = lines.select(*keep, "line", "length", table)
-    other = F.col("length") - F.col("shorter")
-    start, size = segment(other, F.col("i"), threshold + 1)
-    at = start + F.col("by")
-    rows = rows.where((at >= 1) & (at + size - 1 <= F.col("length")))
-    return rows.select(*keep, F.xxhash64(F.substring(F.col("line"), at, size), other, F.col("i")).alias("key"))
+    inner = [(i, by) for i in range(1, parts) for by in range(max(1 - i, i - parts), i)]
+    return [*inner, (parts, 0)]
+
+
+def keyed(lines: DataFrame, threshold: int, entered: bool) -> DataFrame:
+    """The lines' other columns and key: a row for each segment of the line (``entered``), or for each place where one of another line may be."""
+    width = STEP * (threshold + 1)
+    choice = lambda below, i, by: F.struct(F.lit(below).alias("below"), F.lit(i).alias("i"), F.lit(by).alias("by"))
+    own = [choice(0, i, by) for i, by in places(threshold) if not entered or by == 0]
+    table = F.array(*own)
+    if not entered:
+        table = F.when(F.col("length") % width < threshold, F.array(*own, *[choice(1, i, by) for i, by in places(threshold)])).otherwise(table)
+    keep = [c for c in lines.columns if c != "line"]
+    rows = lines.select(*keep, "line", (F.octet_length("line") == F.col("length")).alias("plain"), F.inline(table))
+    kind = F.expr(f"length div {width}").cast("int") - F.col("below")
+    size = kind * STEP
+    at = F.when(F.col("i") == threshold + 1, F.col("length") - size).otherwise((F.col("i") - 1) * size + F.col("by")) + 1
+    rows = rows.select("*", size.alias("size"), at.alias("at")).where("size > 0 and at >= 1 and at + size - 1 <= length")
+    # of plain ASCII a place is a byte's number; else characters are counted from the start
+    part = F.when(F.col("plain"), F.substring(F.col("line").cast("binary"), F.col("at"), F.col("size"))).otherwise(F.substring("line", F.col("at"), F.col("size")).cast("binary"))
+    return rows.select(*keep, F.xxhash64(part, "size", "i").alias("key"))
 
 
 def signature(line: Column) -> Column:
@@ -61,31 +62,71 @@ def signature(line: Column) -> Column:
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
-    """Whether the edit distance is at most ``threshold``: only cells in a band of the matrix are filled."""
-    return F.levenshtein(a, b, threshold) >= 0
+    """Whether two lines are within ``threshold`` edits: all cells of a column that lie in the band are one step on one integer.
+
+    For each number *e* of edits a group of bits says which diagonals d, from -threshold to threshold, hold a cell
+    (j + d, j) that is reached with at most *e* edits. With the next character of ``b``, a bit stays where the characters are equal; it moves
+    to the next group by a substitution, there one diagonal down by an insertion, and one up by a deletion.
+    Unused bits between the groups take what moves out of the band.
+    """
+    band, gap = 2 * threshold + 1, 3 * threshold + 2
+    if gap * (threshold + 1) > 62:
+        raise ValueError("the band of so many edits doesn't fit an integer")
+    long = lambda x: F.lit(x).cast("long")
+    shift = lambda name, x, n: F.call_function(name, x, F.lit(n))
+    union = lambda first, *more: first if not more else union(first.bitwiseOR(more[0]), *more[1:])
+    each = sum(1 << gap * e for e in range(threshold + 1))
+    inside = each * ((1 << band) - 1)
+    start = sum(((1 << e + 1) - 1) << gap * e + threshold for e in range(threshold + 1))
+
+    def step(x: Column, y: Column, state: Column, j: Column) -> Column:
+        equal = union(*[F.when(F.get(x, j + (d - threshold)) == F.get(y, j), long(each << d)).otherwise(long(0)) for d in range(band)])
+        inserted = shift("shiftleft", shift("shiftrightunsigned", state, 1).bitwiseAND(long(inside)), gap)
+        reached = union(state.bitwiseAND(equal), shift("shiftleft", state, gap), inserted)
+        return let(reached, lambda r: union(r, *[shift("shiftleft", r, (gap + 1) * e) for e in range(1, threshold + 1)])).bitwiseAND(long(inside))
+
+    def last(x: Column, y: Column) -> Column:
+        numbers = F.when(F.size(y) > 0, F.sequence(F.lit(0), F.size(y) - 1)).otherwise(F.array().cast("array<int>"))
+        end = F.aggregate(numbers, long(start), lambda state, j: step(x, y, state, j))
+        bit = F.call_function("shiftleft", long(1), F.size(x) - F.size(y) + (gap + 1) * threshold)
+        return end.bitwiseAND(bit) != 0
+
+    characters = lambda c: F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+    near = F.abs(F.length(a) - F.length(b)) <= threshold
+    return F.when(near, let(F.struct(characters(a).alias("x"), characters(b).alias("y")), lambda s: last(s.x, s.y))).otherwise(False)
 
 
 def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of ids of lines within ``threshold`` edits, each once, of a table (id, line) of distinct lines.
+    """Pairs (a, b) of ids of lines within ``threshold`` edits, each once, of a table (id, line) of distinct lines of STEP * (threshold + 1) code points or more.
 
-    First, lines that share no key with another one are left out, by semi joins: these don't make pairs, however
-    many lines meet under a key. The rest, as a rule few, get a signature of their text. Two of them are a
+    First, lines that share no key with another one are left out: of what is entered under a key its least and its greatest id
+    say whether there is another one, however many lines meet under it. The rest, as a rule few, get a signature of their text. Two of them are a
     pair only if their signatures allow so few edits; so lines that share a segment and differ elsewhere (edited copies
-    of one passage) are told apart within the join.
+    of one passage) are told apart within the join. A key under which many lines are entered is dealt over
+    blocks of them, so that no task holds it alone.
     """
-    parts = threshold + 1
-    choices, own = selections(threshold), [(0, i, 0) for i in range(1, parts + 1)]
     sized = lines.select("id", "line", F.length("line").alias("length"))
-    probed, entered = keyed(sized, choices, threshold), keyed(sized, own, threshold).withColumnRenamed("id", "e_id")
-    meet = (probed["key"] == entered["key"]) & (probed["id"] != entered["e_id"])
-    met = probed.join(entered, meet, "left_semi").select("id").union(entered.join(probed, meet, "left_semi").select("e_id")).distinct()
-    met = scratch(met)
+    entered = scratch(keyed(sized, threshold, True).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")))
+    # lines entered under one key all probe with it, so that the two ends are enough to find them all
+    met = keyed(sized, threshold, False).join(entered.hint("shuffle_hash"), "key").where("lo <> id or hi <> id")
+    met = scratch(met.select(F.explode(F.array("id", "lo", "hi")).alias("id")).distinct())
+    discard(entered)
     # what meets grows with the corpus, and so isn't broadcast
-    few = scratch(lines.select("id", "line").join(met.hint("shuffle_hash"), "id", "left_semi").withColumn("sig", signature(F.col("line"))).withColumn("length", F.length("line")))
+    few = lines.select("id", "line").join(met.hint("shuffle_hash"), "id", "left_semi")
+    few = scratch(few.select("id", "line", signature(F.col("line")).alias("sig"), F.length("line").alias("length")))
     discard(met)
-    left, right = keyed(few, choices, threshold), keyed(few, own, threshold).select(F.col("id").alias("e_id"), F.col("sig").alias("e_sig"), "key")
-    pairs = left.join(right, "key").where((F.col("id") != F.col("e_id")) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("e_sig"))) <= CHANGED * threshold))
-    pairs = pairs.select(F.least("id", "e_id").alias("a"), F.greatest("id", "e_id").alias("b")).distinct()
+    probes = keyed(few, threshold, False)
+    held = keyed(few, threshold, True).select(F.col("id").alias("e_id"), F.col("sig").alias("e_sig"), F.col("length").alias("e_length"), "key")
+    hot = held.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    hot = scratch(hot)
+    held = held.join(hot, "key", "left").withColumn("part", F.pmod(F.hash("e_id"), parts)).drop("parts")
+    probes = probes.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    longer = (F.col("length") > F.col("e_length")) | (F.col("length") == F.col("e_length")) & (F.col("id") < F.col("e_id"))
+    alike = F.bit_count(F.col("sig").bitwiseXOR(F.col("e_sig"))) <= CHANGED * threshold
+    pairs = probes.join(held, ["key", "part"]).where(longer & (F.col("length") - F.col("e_length") <= threshold) & alike)
+    pairs = scratch(pairs.select(F.least("id", "e_id").alias("a"), F.greatest("id", "e_id").alias("b")).distinct())
+    discard(hot)
     x, y = few.select(F.col("id").alias("a"), F.col("line").alias("x")), few.select(F.col("id").alias("b"), F.col("line").alias("y"))
     return pairs.join(x, "a").join(y, "b").where(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
