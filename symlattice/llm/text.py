@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,35 +145,44 @@ def byte_values() -> dict[str, int]:
 BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space in a row from which a text is left to the tokenizers library: the splitting pattern of the other one keeps a step for each character of it.
+LONG_RUN = re.compile(r"\s{10000}")
+
+
 @functools.cache
 def encoder(path: str):
-    """text -> list of ids, without special tokens, by the tokenizer file at ``path``.
+    """text -> list of ids, as the tokenizers library gives them with add_special_tokens=False, by the tokenizer file at ``path``.
 
-    A byte-level BPE file whose ids follow its merges is run by tiktoken, which gives the same ids
-    several times faster; any other file by the tokenizers library.
+    A special token that a text holds gets its own id, as there. A byte-level BPE file whose ids follow its merges is run by tiktoken, which gives the same ids
+    several times faster, but for texts with very long runs of white space; any other file by the tokenizers library.
     """
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    slow = lambda text: own.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
     parts, pre = model.get("model", {}), model.get("pre_tokenizer") or {}
-    special = {x["content"] for x in model.get("added_tokens", [])}
+    added = model.get("added_tokens", [])
+    special = {x["content"]: x["id"] for x in added}
+    simple = not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(a != b and a.startswith(b) for a in special for b in special)
     vocab = {k: v for k, v in parts.get("vocab", {}).items() if k not in special} if parts.get("type") == "BPE" else {}
     letters = byte_values()
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in parts.get("merges", [])]
     ordered = bool(merges) and [vocab.get(a + b) for a, b in merges] == list(range(256, 256 + len(merges)))
     plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and not model.get("normalizer") and not parts.get("dropout") and not parts.get("ignore_merges")
-    if ordered and plain and all(c in letters for k in vocab for c in k):
+    if simple and ordered and plain and all(c in letters for k in vocab for c in k):
         import tiktoken
 
         ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items()}
-        return tiktoken.Encoding("own", pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return lambda text: own.encode(text, add_special_tokens=False).ids
+        fast = tiktoken.Encoding("own", pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        return lambda text: slow(text) if LONG_RUN.search(text) else fast.encode(text, allowed_special="all", disallowed_special=())
+    return slow
 
 
 def default_tokenizer() -> str:

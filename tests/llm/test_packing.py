@@ -12,7 +12,6 @@ def ids_of(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return [(r.doc_id, r.source, [*t.encode(r.text or "", add_special_tokens=False).ids, 0]) for r in docs.collect()]
 
 
@@ -22,6 +21,25 @@ def test_fast_encoder_gives_the_tokenizers_ids(documents):
         assert [*run(r.text or ""), 0] == ids
 
 
+def test_awkward_texts_get_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    run, own = encoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x  <|endoftext|>", " " * 9_999 + "x", "\t" * 10_000, " \n" * 300 + "it's", "z" * 100_000, "", " "]
+    for text in texts:
+        assert run(text) == own.encode(text, add_special_tokens=False).ids, text[:30]
+
+
+def test_very_long_runs_of_white_space(spark):
+    rows = [(k, f"start{c * 2_000_000}end <|endoftext|> of it", None, "a") for k, c in enumerate(" \t\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    check(docs)
+    want = {d: [x for x in ids] for d, _, ids in ids_of(docs)}
+    got = binary_output.read_documents(binary_output.packed_matrices(docs)).orderBy("doc_id", "start").collect()
+    for d in want:
+        assert b"".join(r.ids for r in got if r.doc_id == d) == np.array(want[d], "<u4").tobytes()
+
+
 def check(docs, window=1024):
     want = ids_of(docs)
     pieces = packing.pack(docs, window=window).collect()
