@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from symlattice.functions import paths as P
 from symlattice.functions import text as X
 from symlattice.operators import banner, changes, components, derive, fold, freshness, graph, lookup, resolve, routes, scope, search
+from symlattice.plans import intent
 from symlattice.plans.fixtures import duck, table, view
 from symlattice.plans.scratch import scratch
 from symlattice.streaming import watch
@@ -742,8 +743,6 @@ def group_refusal(spark: SparkSession, sf: str) -> DataFrame:
     select id, pattern, case when bool_and(regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*$') and upper(name) not in ('TODO', 'FIXME', 'HACK', 'XXX')) and count(*) <= 4 then string_agg(name, ',' order by pos) end as names from u group by id, pattern"""
 )
 def intent_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    from symlattice.plans import host
-
     word = F.regexp_extract("text", r"^\s*(\S+)", 1)
     k, number = F.col("item_id") % 7, F.col("item_id").cast("string")
     dressed = (
@@ -751,7 +750,7 @@ def intent_symbols(spark: SparkSession, sf: str) -> DataFrame:
         .when(k == 3, F.concat(word, F.lit("|other"), number)).when(k == 4, "TODO").when(k == 5, F.concat(word, F.lit(".*"))).otherwise(F.concat(F.lit("a|b|c|d|"), word))
     )
     rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), dressed.alias("pattern"))
-    return rows.withColumn("names", F.array_join(host.symbols_column(F.col("pattern")), ","))
+    return rows.withColumn("names", F.array_join(intent.names_column(F.col("pattern")), ","))
 
 
 def _sources(spark: SparkSession, sf: str, template: str, end: str) -> DataFrame:

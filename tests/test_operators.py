@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from symlattice.functions import paths, text
 from symlattice.operators import banner, changes, components, derive, fold, graph, lookup, resolve, search
-from symlattice.plans import host
 from symlattice.plans.prefix import ordered_cumsum
 from symlattice.sources import config, python_source, script_source, tree
 from symlattice.streaming import watch
@@ -225,24 +224,3 @@ def test_script_facts():
     assert {(r["name"], r["line"]) for r in f.refs} >= {("D", 5), ("f", 5), ("D", 8), ("A", 9)}
     assert [(b["local_name"], b["imported_name"], b["kind"]) for b in f.bindings] == [("D", "default", "default"), ("b", "a", "named"), ("ns", "*", "namespace-reexport")]
     assert not script_source.extract("x.js", "class A extends B {}").heritage
-
-
-def test_host_rules(tmp_path):
-    assert host.symbols_of(r"\bFoo\b") == ["Foo"] and host.symbols_of("export const Foo =") == ["Foo"] and host.symbols_of("a|b|a") == ["a", "b"]
-    assert host.symbols_of("TODO") is None and host.symbols_of("a.*") is None and host.symbols_of("a|b|c|d|e") is None
-    assert host.shell_words("a 'b c' \"d$x\" \\e", {"x": "1"}) == ["a", "b c", "d1", "e"] and host.shell_words("a | b") is None and host.shell_words("'open") is None
-    parts = host.split_chain("cd x && grep 'a;b' $(ls; pwd) ; cat <<EOF\n;;\nEOF\nls")
-    assert [p[0].strip() for p in parts] == ["cd x", "grep 'a;b' $(ls; pwd)", "cat <<EOF\n;;\nEOF", "ls"] and "".join(a + b for a, b in parts).startswith("cd x && grep")
-    assert host.split_chain("a & b") is None and host.split_chain("a 2>&1") is not None
-    cwd = str(tmp_path)
-    assert host.from_command("rg -n Foo", cwd).names == ["Foo"] and host.from_command("rg -i Foo", cwd) is None and host.from_command("grep -rn --include=*.md Foo", cwd) is None
-    plan = host.plan_command('d=sub; cd "$d" && grep -rn Foo . | head -5', cwd)
-    assert plan.hits[0][1].folder == str(tmp_path / "sub") and not plan.only
-    assert host.foldable("grep -n foo a.ts | head -20") == {"head": "grep -n foo a.ts", "tail": "| head -20", "file": "a.ts"} and host.foldable("grep -l foo .") is None and host.foldable("grep foo . | wc -l") is None
-    assert host.tail_limits("| head -20 | cut -c 1-80 | head -n 5") == (5, "1-80")
-    served = set()
-    ask = lambda n: f"trust: fresh\n\n## function `{n}`\n"
-    event = {"tool": "shell", "input": {"command": "rg 'Foo|Bar'"}, "cwd": cwd}
-    assert host.decide(event, ask, served)["answer"].count("## ") == 2 and "plan" in host.decide(event, ask, served)
-    assert host.decide({"tool": "search", "input": {"pattern": "x.*y"}, "cwd": cwd}, ask, served) == {"allow": True}
-    assert host.decide({"tool": "shell", "input": None}, ask, served) == {"allow": True}
