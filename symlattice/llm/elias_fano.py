@@ -10,10 +10,10 @@ import numpy as np
 
 #: Values from one entry of the directory to the next: what a search decodes at a time.
 SAMPLE = 2048
-#: Base of the geometric steps in which counts are kept (one byte each): within 4.5 %, 1 exactly.
-STEP = 1.09
-#: Bits of a child within its context, and of a context within its shard; a child's hash covers its context as well.
-CHILD_BITS, CONTEXT_BITS = 40, 20
+#: Base of the geometric steps in which probabilities are kept, one byte each: down by 8.5 % at most, to 1e-9.
+STEP = 1.085
+#: Bits of a child within its context, and of a context within its shard.
+CHILD_BITS, CONTEXT_BITS = 24, 32
 
 
 class EliasFano:
@@ -82,45 +82,66 @@ def mapped(values: np.ndarray, folder: str, name: str) -> np.ndarray:
     return np.memmap(path, values.dtype, "r")
 
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(255, 1 + np.round(np.log(np.maximum(counts, 1)) / np.log(STEP))).astype(np.uint8)
+def quantise(p: np.ndarray) -> np.ndarray:
+    """Codes of probabilities above 0: the next step below each, so that a sum of them never grows."""
+    return np.clip(1 + np.ceil(-np.log(np.maximum(p, 1e-12)) / np.log(STEP) - 1e-9), 1, 255).astype(np.uint8)
 
 
 def restore(codes: np.ndarray) -> np.ndarray:
-    """Counts of codes; 0 is a pair that was never seen."""
-    return np.where(codes > 0, STEP ** (codes.astype(float) - 1), 0.0)
+    """Probabilities of codes; 0 is a pair that was never seen."""
+    return np.where(codes > 0, STEP ** (1 - codes.astype(float)), 0.0)
 
 
 class Trie:
     """Contexts, and below each the words that follow it: keys are (context << CHILD_BITS | child), ascending, distinct.
 
-    Level 1 has the contexts; monotone pointers lead to the children of each. Level 2 has the children, relative to
-    their context: a child's value is its own bits above which stands the rank of its context. Values are quantised.
+    Level 1 has the contexts, with the number of tokens that follow and the weight left for words that never did; monotone pointers
+    lead to the children of each. Level 2 has the children, each relative to its context: to stay monotone, a child's value
+    starts after the last one of the context before. A child is found by a search from its context's pointer on.
+    Values are smoothed probabilities of the child after its context: a discount is taken off each count, and what the children leave,
+    with what their quantisation takes off, is the context's weight; so children and weight sum to 1.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, discount: float):
         self.folder = tempfile.mkdtemp(prefix="trie-")
         contexts, first = np.unique(keys >> np.uint64(CHILD_BITS), return_index=True)
+        children = keys & np.uint64((1 << CHILD_BITS) - 1)
+        edges = np.append(first, len(keys))
         self.contexts = EliasFano(contexts, self.folder, "contexts")
-        self.pointers = EliasFano(np.append(first, len(keys)), self.folder, "pointers")
-        rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(np.append(first, len(keys))))
-        self.children = EliasFano(rank << np.uint64(CHILD_BITS) | keys & np.uint64((1 << CHILD_BITS) - 1), self.folder, "children")
-        self.codes = mapped(quantise(counts), self.folder, "codes")
-
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Codes of ascending keys; 0 where a key isn't there."""
+        self.pointers = EliasFano(edges, self.folder, "pointers")
+        before = np.cumsum(children[edges[1:] - 1] + np.uint64(1)) if len(first) else np.zeros(0, np.uint64)
+        rank = np.repeat(np.arange(len(first)), np.diff(edges))
+        self.children = EliasFano(children + np.concatenate([np.zeros(1, np.uint64), before])[rank], self.folder, "children")
+        total = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
+        codes = quantise((counts - discount) / total[rank])
+        left = 1 - (np.add.reduceat(restore(codes), first) if len(first) else np.zeros(0))
+        self.codes = mapped(codes, self.folder, "codes")
+        self.totals = mapped(total, self.folder, "totals")
+        self.weights = mapped(left.astype(np.float32), self.folder, "weights")
+
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ascending keys: codes (0 where a child isn't there); and of their distinct contexts, in order, tokens that follow and weight (0 and 1 where there is none)."""
         out = np.zeros(len(keys), np.uint8)
-        rank, known = self.contexts.successor(keys >> np.uint64(CHILD_BITS))
-        found = np.flatnonzero(known)
+        asked, first, inverse = np.unique(keys >> np.uint64(CHILD_BITS), return_index=True, return_inverse=True)
+        totals, weights = np.zeros(len(asked), np.int64), np.ones(len(asked), np.float32)
+        rank, known = self.contexts.successor(asked)
+        some = rank[known]
+        totals[known], weights[known] = self.totals[some], self.weights[some]
+        found = np.flatnonzero(known[inverse])
         if not len(found):
-            return out
-        rank = rank[found]
-        relative = rank.astype(np.uint64) << np.uint64(CHILD_BITS) | keys[found] & np.uint64((1 << CHILD_BITS) - 1)
-        place, equal = self.children.successor(relative)
-        end = self.pointers.get(rank + 1).astype(np.int64)
-        hit = equal & (place < end)
+            return out, totals, weights
+        begin, end, low, high = (np.zeros(len(asked), np.uint64) for _ in range(4))
+        begin[known], end[known] = self.pointers.get(some), self.pointers.get(some + 1)
+        high[known] = self.children.get(end[known].astype(np.int64) - 1) + np.uint64(1)
+        later = known & (begin > 0)
+        low[later] = self.children.get(begin[later].astype(np.int64) - 1) + np.uint64(1)
+        of = inverse[found]
+        wanted = low[of] + (keys[found] & np.uint64((1 << CHILD_BITS) - 1))
+        # beyond a context's last child the search stops at its end
+        place, equal = self.children.successor(np.minimum(wanted, high[of]))
+        hit = equal & (place >= begin[of].astype(np.int64)) & (place < end[of].astype(np.int64))
         out[found[hit]] = self.codes[place[hit]]
-        return out
+        return out, totals, weights
 
     def close(self) -> None:
         shutil.rmtree(self.folder, ignore_errors=True)

@@ -1,13 +1,19 @@
 """Operator 5: scoring by an n-gram model that is kept as Elias-Fano tries.
 
-Texts are made into blocks of token numbers. A block asks shards for the counts of its distinct words and of
+Texts are made into blocks of token numbers. A block asks shards for the counts of its distinct words and for
 its distinct word pairs, and sends along how often each is in its training documents; a shard first sums what all
 blocks send, builds its part of the trie (memory-mapped, in the task's own folder, deleted at the end), and then
-answers every block. So each pair is sent once a block in a few bytes, no model is ever gathered in one place, and what is sent
-grows with the corpus. A context's children are dealt over ``SPREAD`` shards, so that frequent words are no hot shard.
+answers every block. So each pair is sent once a block in a few bytes, no model is ever gathered in one place, what is sent
+grows with the corpus, and so does the number of shards: one has about as many keys at every size.
 
-The model is a bigram model with Dirichlet smoothing: P(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU) with
-p(w) = (c(w) + 1) / (N + V + 1); a text's first word follows a start symbol, its last an end. Counts of pairs are quantised, in steps of 9 %.
+The model is a bigram model that sums to 1 after every word. Words are dealt into classes, those of their shards. P(w | v) = P(k | v) P(w | v, k), k the class of w:
+
+* P(k | v) = (c(v, k) + MU p(k)) / (c(v) + MU), with p(w) = (c(w) + 1) / (N + V + 1), p(k) its sum over the class, and
+  one more outcome for all unknown words, of 1 / (N + V + 1);
+* P(w | v, k) = a(w | v, k) + b(v, k) p(w) / p(k), where a is (c(v, w) - DISCOUNT) / c(v, k), quantised, and b is 1 less the sum of all a.
+
+The followers of one word and class are the children of one trie node; those of a frequent word are in as many shards as there
+are, so that none is hot, and yet each node can be normalised where it lies. A text's first word follows an end, and its last is followed by one.
 """
 
 from __future__ import annotations
@@ -29,9 +35,10 @@ from symlattice.plans.scratch import scratch
 
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK_BYTES = 5_000_000
-SPREAD = 4
-#: Strength of the smoothing, in tokens.
-MU = 60.0
+#: Bytes of blocks for each shard, at least LEAST_SHARDS of them; and tasks that work on shards, one after the other, at most.
+SHARD_BYTES, LEAST_SHARDS, MOST_TASKS = 8_000_000, 16, 20_000
+#: Strength of the smoothing of classes, in tokens, and what is taken off each pair's count.
+MU, DISCOUNT = 16.0, 0.75
 _END = np.uint64(0x5BF0A8B1457695F1)
 _CHILD, _CONTEXT = np.uint64((1 << CHILD_BITS) - 1), np.uint64((1 << CONTEXT_BITS) - 1)
 DOCS, WORDS, PAIRS, TOTALS = 0, 1, 2, 3
@@ -115,6 +122,12 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def conditional(a: np.ndarray, follow: np.ndarray, left: np.ndarray, context: np.ndarray, p: np.ndarray, of_class: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """P(w | v), from a(w | v, k), c(v, k), b(v, k), c(v), p(w), p(k) and whether w is known."""
+    within = a + left * p / np.where(known, of_class, 1.0)
+    return np.where(known, (follow + MU * of_class) * within, MU * p) / (context + MU)
+
+
 class Block:
     """A block's distinct words and pairs, in the order in which shards are asked for them."""
 
@@ -138,15 +151,15 @@ class Block:
         v, w = distinct // max(1, len(words)), distinct % max(1, len(words))
         counts = np.bincount(inverse[training], minlength=len(distinct))
         hv, hw = self.words[v], mix(self.words[w] + np.uint64(0x13198A2E03707344))
-        shard = (mix(hv + hw % np.uint64(SPREAD)) % np.uint64(shards)).astype(np.int64)
-        context = mix(hv + np.uint64(0xA4093822299F31D0)) & _CONTEXT
-        child = mix(hv * np.uint64(0x2545F4914F6CDD1D) + hw) & _CHILD
-        keys = context << np.uint64(CHILD_BITS) | child
+        kind = self.word_shard[w].astype(np.uint64)
+        node = mix(mix(hv + np.uint64(0xA4093822299F31D0)) + kind)
+        shard = (mix(node) % np.uint64(shards)).astype(np.int64)
+        keys = (node & _CONTEXT) << np.uint64(CHILD_BITS) | mix(hv * np.uint64(0x2545F4914F6CDD1D) + hw) & _CHILD
         order = np.lexsort((keys, shard))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.keys, self.pair_shard, self.pair_counts, self.pairs = keys[order], shard[order], counts[order], place[inverse]
-        self.pair_v = v[order]
+        self.pair_v, self.pair_w = v[order], w[order]
 
     def requests(self, number: int) -> list[tuple[int, int, int, bytes]]:
         out = []
@@ -156,18 +169,21 @@ class Block:
                 out.append((number, kind, int(shard[a]), put(*put_sorted(keys[a:b]), narrow(counts[a:b]))))
         return out
 
-    def scores(self, answers: list[tuple[int, bytes]], total: int, distinct: int) -> pa.RecordBatch:
-        """``answers``: kind and payload, in the order of the shards."""
+    def scores(self, answers: list[tuple[int, bytes]], total: int, distinct: int, classes: np.ndarray) -> pa.RecordBatch:
+        """``answers``: kind and payload, in the order of the shards. ``classes``: the training tokens and distinct words of each class."""
         c = np.concatenate([np.zeros(0, np.int64), *(take(p)[0].astype(np.int64) for k, p in answers if k == WORDS)])
-        codes = np.concatenate([np.zeros(0, np.uint8), *(take(p)[0] for k, p in answers if k == PAIRS)])
-        if len(c) != len(self.words) or len(codes) != len(self.keys):
+        nodes = [take(p) for k, p in answers if k == PAIRS]
+        codes, follow, left = (np.concatenate([np.zeros(0, t), *(x[i].astype(t) for x in nodes)]) for i, t in enumerate((np.uint8, np.int64, np.float64)))
+        # a node of the trie: pairs in a row of one shard and context
+        context = self.keys >> np.uint64(CHILD_BITS)
+        new = np.ones(len(context), bool)
+        new[1:] = (context[1:] != context[:-1]) | (self.pair_shard[1:] != self.pair_shard[:-1])
+        if len(c) != len(self.words) or len(codes) != len(self.keys) or len(follow) != new.sum():
             raise ValueError("a shard's answer is missing")
         p = (c + 1) / (total + distinct + 1)
         base = np.log10(p)[self.tokens]
-        w = np.zeros(len(self.keys), np.int64)
-        w[self.pairs] = self.tokens
-        seen = c[self.pair_v]
-        model = np.log10((restore(codes) + MU * p[w]) / (np.maximum(seen, restore(codes)) + MU))[self.pairs]
+        node = np.cumsum(new) - 1
+        model = np.log10(conditional(restore(codes), follow[node], left[node], c[self.pair_v], p[self.pair_w], (classes / (total + distinct + 1))[self.word_shard[self.pair_w]], c[self.pair_w] > 0))[self.pairs]
         edges = np.concatenate([[0], np.cumsum(self.n)])[:-1]
         total_of = lambda x: np.add.reduceat(x, edges) if len(x) else np.zeros(0)
         known = total_of((c > 0)[self.tokens].astype(np.int64))
@@ -226,14 +242,23 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             summed[inverse[a:b]] += c  # a block names each key once
         del keys, counts
         seen = summed > 0
-        trie = (Trie if kind == PAIRS else Words)(distinct[seen], summed[seen])
+        trie = Trie(distinct[seen], summed[seen], DISCOUNT) if kind == PAIRS else Words(distinct[seen], summed[seen])
         try:
-            found = trie.lookup(distinct)
+            found, *of_contexts = trie.lookup(distinct)
         finally:
             trie.close()
+        # the node of each key, by number
+        contexts = distinct >> np.uint64(CHILD_BITS)
+        node = np.cumsum(np.r_[True, contexts[1:] != contexts[:-1]]) - 1
         out, size = [], 0
         for r, a, b in zip(rows, edges, edges[1:], strict=False):
-            out.append((r["block"], kind, shard, put(found[inverse[a:b]])))
+            own = inverse[a:b]
+            parts = [found[own]]
+            if kind == PAIRS:
+                nodes = node[own]
+                nodes = nodes[np.r_[True, nodes[1:] != nodes[:-1]]]
+                parts += [narrow(of_contexts[0][nodes]), of_contexts[1][nodes]]
+            out.append((r["block"], kind, shard, put(*parts)))
             size += len(out[-1][3])
             if size > 4_000_000:
                 yield _rows(out)
@@ -251,11 +276,11 @@ class Words(Trie):
         self.keys = EliasFano(keys, self.folder, "keys")
         self.codes = mapped(counts, self.folder, "counts")
 
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray]:
         place, equal = self.keys.successor(keys)
         out = np.zeros(len(keys), np.int64)
         out[equal] = self.codes[place[equal]]
-        return narrow(out)
+        return (narrow(out),)
 
 
 def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -268,19 +293,21 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shards = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held_out, F.lit(False)).alias("held"))
     blocks = scratch(rows.mapInArrow(_blocks, ROW))
+    shards = max(LEAST_SHARDS, -(-(blocks.agg(F.sum(F.length("payload"))).first()[0] or 0) // SHARD_BYTES))
     key = ["kind", "shard"]
-    asked = blocks.mapInArrow(_ask(shards), ROW).repartition(*key).sortWithinPartitions(*key, "block")
+    tasks = min(max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
+    asked = blocks.mapInArrow(_ask(shards), ROW).repartition(tasks, *key).sortWithinPartitions(*key, "block")
     answers = scratch(asked.mapInArrow(_answer, ROW))
-    sums = [take(r.payload)[0] for r in answers.where(F.col("kind") == TOTALS).select("payload").collect()]  # a row for each shard
-    total, distinct = (int(sum(s[i] for s in sums)) for i in (0, 1))
+    sums = {r.shard: take(r.payload)[0] for r in answers.where(F.col("kind") == TOTALS).select("shard", "payload").collect()}  # a row for each shard
+    total, distinct = (int(sum(s[i] for s in sums.values())) for i in (0, 1))
+    classes = spark.sparkContext.broadcast(np.array([float(sum(sums.get(k, [0]))) for k in range(shards)]))
     both = blocks.union(answers.where(F.col("kind") != TOTALS)).repartition("block").sortWithinPartitions("block", *key)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, ["block"]):
-            yield Block(rows[0]["payload"], shards).scores([(r["kind"], r["payload"]) for r in rows[1:]], total, distinct)
+            yield Block(rows[0]["payload"], shards).scores([(r["kind"], r["payload"]) for r in rows[1:]], total, distinct, classes.value)
 
     return both.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
