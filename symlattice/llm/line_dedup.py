@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.llm.text import let
+from symlattice.llm.text import let, unused
 from symlattice.plans.scratch import discard, scratch
 
 #: Edits up to which a line is a near copy.
@@ -169,20 +169,20 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MI
     such a column, is left as it came. An empty table gives no row. Columns that are named as those added are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_exact_removed", "n_near_removed")]
-    gone = removed_lines(docs, threshold, min_length).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "exact", "near")
-    gone = gone.select("__id", "__hash", F.col("exact").alias("__exact"), F.col("near").alias("__near"))
-    rows = docs.select(*names, F.xxhash64("text").alias("__text"))
-    same = rows["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (rows["__text"] == gone["__hash"])
+    gone_id, gone_hash, exact, near, own = unused(names, "__id", "__hash", "__exact", "__near", "__text")
+    gone = removed_lines(docs, threshold, min_length).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash), F.col("exact").alias(exact), F.col("near").alias(near))
+    rows = docs.select(*names, F.xxhash64("text").alias(own))
+    same = rows["doc_id"].cast("long").eqNullSafe(gone[gone_id]) & (rows[own] == gone[gone_hash])
     joined = rows.join(gone.hint("shuffle_hash"), same, "left")
     lines = F.split("text", "\n")
-    gone_here = F.concat("__exact", "__near")
+    gone_here = F.concat(exact, near)
     left = let(lines, lambda all_lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone_here), lambda i: F.get(all_lines, i)))
-    kept = F.when(F.col("__exact").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    kept = F.when(F.col(exact).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
     text = F.when(F.col("text").isNotNull(), kept)
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in names],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("__exact").isNull(), 0).otherwise(count(F.col("__exact"))).cast("long").alias("n_exact_removed"),
-        F.when(F.col("__near").isNull(), 0).otherwise(count(F.col("__near"))).cast("long").alias("n_near_removed"),
+        count(exact).alias("n_exact_removed"),
+        count(near).alias("n_near_removed"),
     )

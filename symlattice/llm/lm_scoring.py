@@ -29,16 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.llm.elias_fano import CHILD_BITS, CONTEXT_BITS, EliasFano, Trie, mapped, restore
+from symlattice.llm.elias_fano import CHILD_BITS, CONTEXT_BITS, EliasFano, Trie, mapped, quantise, restore
 from symlattice.llm.text import bounded_batches, chunks, mix, word_hashes
 from symlattice.plans.scratch import scratch
 
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK_BYTES = 5_000_000
 #: Bytes of blocks for each shard, at least LEAST_SHARDS of them; and tasks that work on shards, one after the other, at most.
-SHARD_BYTES, LEAST_SHARDS, MOST_TASKS = 8_000_000, 16, 20_000
+SHARD_BYTES, LEAST_SHARDS, MOST_TASKS = 4_000_000, 16, 20_000
 #: Strength of the smoothing of classes, in tokens, and what is taken off each pair's count.
 MU, DISCOUNT = 16.0, 0.75
+_ONE_LEFT = 1 - restore(quantise(np.array([1 - DISCOUNT])))[0]
 _END = np.uint64(0x5BF0A8B1457695F1)
 _CHILD, _CONTEXT = np.uint64((1 << CHILD_BITS) - 1), np.uint64((1 << CONTEXT_BITS) - 1)
 DOCS, WORDS, PAIRS, TOTALS = 0, 1, 2, 3
@@ -76,6 +77,15 @@ def put_sorted(keys: np.ndarray) -> list[np.ndarray]:
     return [np.array([width], np.uint8), steps.view(np.uint8).reshape(-1, 8)[:, :width].T.reshape(-1)]
 
 
+def by_bytes(x: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones, and so on: these compress better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).reshape(-1)
+
+
+def from_planes(raw: np.ndarray, kind) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def take_sorted(width: np.ndarray, planes: np.ndarray) -> np.ndarray:
     steps = np.zeros((len(planes) // int(width[0]), 8), np.uint8)
     steps[:, : int(width[0])] = planes.reshape(int(width[0]), -1).T
@@ -102,7 +112,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch.column("held").to_numpy(zero_copy_only=False).astype(np.uint8),
             n.astype(np.int64) + 1,
             words.astype(np.uint64),
-            narrow(codes),
+            by_bytes(codes.astype(np.uint32)),
         )
         yield _rows([(number, DOCS, -1, payload)])
         number += 1
@@ -133,7 +143,7 @@ class Block:
 
     def __init__(self, payload: bytes, shards: int):
         self.ids, self.null, self.held, self.n, words, codes = take(payload)
-        codes = codes.astype(np.int64)
+        codes = from_planes(codes, np.uint32).astype(np.int64)
         training = np.repeat(self.held == 0, self.n)
         own = mix(words ^ np.uint64(0x243F6A8885A308D3))
         shard = (own % np.uint64(shards)).astype(np.int64)
@@ -173,7 +183,10 @@ class Block:
         """``answers``: kind and payload, in the order of the shards. ``classes``: the training tokens and distinct words of each class."""
         c = np.concatenate([np.zeros(0, np.int64), *(take(p)[0].astype(np.int64) for k, p in answers if k == WORDS)])
         nodes = [take(p) for k, p in answers if k == PAIRS]
-        codes, follow, left = (np.concatenate([np.zeros(0, t), *(x[i].astype(t) for x in nodes)]) for i, t in enumerate((np.uint8, np.int64, np.float64)))
+        codes, follow = (np.concatenate([np.zeros(0, t), *(x[i].astype(t) for x in nodes)]) for i, t in enumerate((np.uint8, np.int64)))
+        # what a node without followers, or with one, leaves is known
+        left = np.where(follow > 0, _ONE_LEFT, 1.0)
+        left[follow > 1] = np.concatenate([np.zeros(0, np.float32), *(from_planes(x[2], np.float32) for x in nodes)])
         # a node of the trie: pairs in a row of one shard and context
         context = self.keys >> np.uint64(CHILD_BITS)
         new = np.ones(len(context), bool)
@@ -257,7 +270,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == PAIRS:
                 nodes = node[own]
                 nodes = nodes[np.r_[True, nodes[1:] != nodes[:-1]]]
-                parts += [narrow(of_contexts[0][nodes]), of_contexts[1][nodes]]
+                follow = of_contexts[0][nodes]
+                parts += [narrow(follow), by_bytes(of_contexts[1][nodes[follow > 1]])]
             out.append((r["block"], kind, shard, put(*parts)))
             size += len(out[-1][3])
             if size > 4_000_000:
@@ -295,15 +309,16 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held_out, F.lit(False)).alias("held"))
     blocks = scratch(rows.mapInArrow(_blocks, ROW))
-    shards = max(LEAST_SHARDS, -(-(blocks.agg(F.sum(F.length("payload"))).first()[0] or 0) // SHARD_BYTES))
+    n_blocks, held = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()
+    shards = max(LEAST_SHARDS, -(-held // SHARD_BYTES))
     key = ["kind", "shard"]
-    tasks = min(max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
-    asked = blocks.mapInArrow(_ask(shards), ROW).repartition(tasks, *key).sortWithinPartitions(*key, "block")
+    tasks = lambda n: min(max(2 * n, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)  # noqa: E731  so few share one that all are alike
+    asked = blocks.mapInArrow(_ask(shards), ROW).repartition(tasks(shards), *key).sortWithinPartitions(*key, "block")
     answers = scratch(asked.mapInArrow(_answer, ROW))
     sums = {r.shard: take(r.payload)[0] for r in answers.where(F.col("kind") == TOTALS).select("shard", "payload").collect()}  # a row for each shard
     total, distinct = (int(sum(s[i] for s in sums.values())) for i in (0, 1))
     classes = spark.sparkContext.broadcast(np.array([float(sum(sums.get(k, [0]))) for k in range(shards)]))
-    both = blocks.union(answers.where(F.col("kind") != TOTALS)).repartition("block").sortWithinPartitions("block", *key)
+    both = blocks.union(answers.where(F.col("kind") != TOTALS)).repartition(tasks(n_blocks), "block").sortWithinPartitions("block", *key)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, ["block"]):

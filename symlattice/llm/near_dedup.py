@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symlattice.llm.text import bounded_batches, chunks, mix, word_hashes
+from symlattice.llm.text import bounded_batches, chunks, mix, unused, word_hashes
 from symlattice.operators.components import connected_components
 from symlattice.plans.scratch import scratch
 
@@ -303,10 +303,11 @@ def components(docs: DataFrame, table: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents, with their own columns, of which no earlier one (by doc_id) is a near copy: one for each component."""
+    gone_id, gone_hash, own, number = unused(docs.columns, "__id", "__hash", "__text", "__n")
     found = near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__text", F.xxhash64("text"))
-    left = rows.join(gone.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(gone["__id"]) & (rows["__text"] == gone["__hash"]), "left_anti")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    left = rows.join(gone.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(gone[gone_id]) & (rows[own] == gone[gone_hash]), "left_anti")
     # rows that repeat in id and text are copies of each other
-    one = Window.partitionBy("doc_id", "__text").orderBy("doc_id")
-    return left.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    one = Window.partitionBy("doc_id", own).orderBy("doc_id")
+    return left.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).select(*docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.llm.text import let, words
+from symlattice.llm.text import let, unused, words
 from symlattice.plans.scratch import scratch
 
 #: A group needs so many rows for thresholds of its own; else its language's are taken, else the corpus's.
@@ -114,7 +114,7 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     whole, once; the measures (narrow rows) are written, summed into sketches with map-side
     combine (so that a hot source is no hot task) and joined to the thresholds, a row for each group.
     """
-    measured = ratios(scratch(measures(docs.withColumn("text_hash", F.xxhash64("text")), "doc_id", "text_hash", "lang", "source")))
+    measured = ratios(scratch(measures(docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("text_hash")), "doc_id", "text_hash", "lang", "source")))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     limits = thresholds(measured.where(~base), min_group)
     # a group without limits has no row that passes the base rules
@@ -127,6 +127,7 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """The documents, with their own columns, that ``quality_rules`` keeps. Of rows that repeat in id and text all are kept or none, unless their language or source differs: then one that fails takes them along."""
-    bad = quality_rules(docs, min_group).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__text", F.xxhash64("text"))
-    return rows.join(bad.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(bad["__id"]) & (rows["__text"] == bad["__hash"]), "left_anti").select(*docs.columns)
+    bad_id, bad_hash, own = unused(docs.columns, "__id", "__hash", "__text")
+    bad = quality_rules(docs, min_group).where(~F.col("kept")).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    return rows.join(bad.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(bad[bad_id]) & (rows[own] == bad[bad_hash]), "left_anti").select(*docs.columns)

@@ -7,9 +7,9 @@ holds the anchor can lie.
 
 * Occurrences of an anchor with one and the same context are copies: all but the first are covered.
 * Where an anchor has different contexts (the edges of repeated passages, edited copies), the first occurrence of each
-  context is compared. The contexts of a task's anchors are put behind each other, their suffixes are sorted by their first
-  LENGTH bytes, equal ones by place in the corpus; the previous smaller place in suffix order is then the neighbour, and a suffix
-  whose longest previous factor reaches LENGTH starts a covered string.
+  context is compared. The contexts of a task's anchors are put behind each other, and their suffixes are sorted, to LENGTH bytes,
+  equal ones by place in the corpus. The suffix nearest before, and the one nearest after, in this order that lies at a smaller place share
+  the longest previous factor, told by the least common prefix on the way; where it reaches LENGTH a covered string starts.
 
 Last, covered intervals are joined to the texts and cut out.
 """
@@ -112,12 +112,37 @@ FOUND = "doc_id long, copy int, spot long, anchor long, context long"
 AT, BEFORE, AFTER = ("shiftright(spot, 16)", "shiftright(spot, 8) & 255", "spot & 255")
 
 
+def smaller_before(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each suffix, in suffix order: the bytes shared with the nearest suffix before it that lies at a smaller place (0: there is none).
+
+    ``common``: the bytes that each shares with its neighbour before. All suffixes look one step further in each round, past what their
+    candidate has looked past already, so that few rounds are needed.
+    """
+    n = len(place)
+    candidate, shared = np.arange(-1, n - 1), common.copy()
+    open_ = np.arange(1, n)
+    while True:
+        open_ = open_[candidate[open_] >= 0]
+        open_ = open_[place[candidate[open_]] >= place[open_]]
+        if not len(open_):
+            break
+        via = candidate[open_]
+        shared[open_] = np.minimum(shared[open_], shared[via])
+        candidate[open_] = candidate[via]
+    return np.where(candidate >= 0, shared, 0)
+
+
+def longest_previous(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix, in suffix order: the longer of what it shares with the nearest smaller places on either side."""
+    after = np.append(common[1:], 0)[::-1] if len(common) else common
+    return np.maximum(smaller_before(place, common), smaller_before(place[::-1], after)[::-1])
+
+
 def previous_factors(contexts: list[bytes], place: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts (context number, offset) whose LENGTH bytes also start at an earlier place in a context of the same group.
 
     ``place``: the corpus-wide order of each context's first byte; bytes of a context follow it. Suffixes are
-    sorted by their group, then by their first LENGTH bytes; of equal ones the order is that of their places, so that
-    the previous smaller place of any but the first of equals is its neighbour, at a common length of LENGTH or more.
+    sorted by their group, then by their first LENGTH bytes, then by place; nothing is shared beyond a group or beyond LENGTH bytes.
     """
     sizes = np.array([len(c) for c in contexts], np.int64)
     data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -133,16 +158,20 @@ def previous_factors(contexts: list[bytes], place: np.ndarray, group: np.ndarray
     owner, offset, at = owner[some], offset[some], at[some]
     if not len(at):
         return owner, offset
-    suffix = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at].view(f"S{LENGTH}").reshape(-1)
-    _, rank = np.unique(suffix, return_inverse=True)
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
+    _, rank = np.unique(windows.view(f"S{LENGTH}").reshape(-1), return_inverse=True)
     rank = rank + group[owner] * (int(rank.max()) + 1)
     spot = place[owner] + offset
     order = np.lexsort((spot, rank))
-    # equal suffixes stand by place, so the previous smaller place is the one before, and the factor has LENGTH bytes
-    r, spot = rank[order], spot[order]
-    begin = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    least = np.repeat(spot[begin], np.diff(np.r_[begin, len(r)]))
-    hit = order[spot > least]
+    differ = np.ones(len(order), np.int64)
+    differ[1:] = rank[order][1:] != rank[order][:-1]
+    common = np.where(differ, 0, LENGTH)
+    # neighbours of one group that differ share what is before their first different byte
+    edge = np.flatnonzero(differ)[1:]
+    same = edge[group[owner[order[edge]]] == group[owner[order[edge - 1]]]]
+    common[same] = (windows[order[same]] != windows[order[same - 1]]).argmax(axis=1)
+    # rows that repeat hold the same places, which don't come before each other
+    hit = order[longest_previous(spot[order], common) >= LENGTH]
     return owner[hit], offset[hit]
 
 

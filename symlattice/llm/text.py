@@ -33,6 +33,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """Each name, or what is left free by ``names`` (compared as Spark does, without case) if that is taken: for columns beside a caller's own."""
+    taken = {n.lower() for n in names}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, though it is used more than once."""
     return F.transform(F.array(value), body)[0]

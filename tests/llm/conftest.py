@@ -1,6 +1,6 @@
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, rank int, h double"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, rank int, h double, __text string, __ID long, __hash int, __n string, __at double, text_hash string, __exact int, positions string"
 
 
 @pytest.fixture(scope="session")
@@ -19,7 +19,8 @@ def awkward(spark):
         (7, "É ê x\x0bq\x1cr $$$ |", "fr", "é", 9, "z", 3, 2.0),
         (None, "lost id but some words here", "fr", "é", 9, "z", 3, 2.0),
     ]
-    return spark.createDataFrame(rows, DOCS)
+    clash = ("t", 7, 8, "n", 0.5, "h", 1, "p")
+    return spark.createDataFrame([(*r, *clash) for r in rows], DOCS)
 
 
 @pytest.fixture(scope="session")

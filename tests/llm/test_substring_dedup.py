@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from symlattice.llm import substring_dedup
@@ -61,3 +62,14 @@ def test_planted_passages(spark, monkeypatch, hot):
             parts.append(p)
         texts.append("".join(parts))
     check(spark.createDataFrame([(rng.randrange(10**6), t) for t in texts], "doc_id long, text string"))
+
+
+def test_longest_previous_factors_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        s = [rng.choice("ab" if _ % 2 else "abcd") for _ in range(rng.randrange(1, 50))]
+        shared = lambda a, b: next((n for n in range(len(s)) if max(a, b) + n >= len(s) or s[a + n] != s[b + n]), len(s))
+        order = sorted(range(len(s)), key=lambda i: s[i:])
+        common = np.array([0, *(shared(a, b) for a, b in zip(order, order[1:], strict=False))])
+        got = substring_dedup.longest_previous(np.array(order), common)
+        assert got.tolist() == [max((shared(i, j) for j in range(i)), default=0) for i in order]
