@@ -7,6 +7,7 @@ Each stage works on all that the one before kept. ``STAGES`` has (name, function
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,38 +15,39 @@ from pyspark.sql import functions as F
 from symlattice.llm import line_dedup, mixing, near_dedup, packing, quality
 from symlattice.plans.scratch import discard, made, scratch
 
-_before: set[str] = set()
+#: Scratch tables of the stage that was run last, by session.
+_before: WeakKeyDictionary[SparkSession, set[str]] = WeakKeyDictionary()
 
 
 def _stage(run: Callable[[DataFrame], DataFrame], first: bool = False, last: bool = False):
     """A stage; when it is called, what the stage before it returned has been written, so that one's scratch tables go."""
 
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        before = _before.pop(spark, set())
         if not first:
-            discard(*_before)
-        _before.clear()
+            discard(*before)
         had = made()
         out = run(docs)
         if not last:
-            _before.update(made() - had)
+            _before[spark] = made() - had
         return out
 
     return call
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """Documents that pass the base rules and their group's thresholds."""
+    """Documents that pass the base rules and their group's thresholds. Null and empty texts fail the base rules; an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All documents, without lines that (nearly) repeat an earlier one; n_chars follows the text."""
+    """All documents, without lines that (nearly) repeat an earlier one; n_chars follows the text. A null text stays null; a document may end up empty."""
     out = line_dedup.line_dedup(docs)
     return out.select(*[F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
 
 
 def pack_in_order(docs: DataFrame) -> DataFrame:
-    """Packed in the training order in which the mixing stage wrote its rows: by part, file of the part, and row of the file."""
+    """Packed in the training order in which the mixing stage wrote its rows: by part, file of the part, and row of the file. A null text is its end id; an empty table gives no piece."""
     part = lambda p: F.coalesce(F.try_to_number(F.regexp_extract("_metadata.file_name", p, 1), F.lit("9999999999")), F.lit(0)).cast("long")
     place = F.shiftleft(part(r"^part-(\d+)"), 44) + F.shiftleft(part(r"-c(\d+)[^-]*$"), 34) + F.col("_metadata.row_index")
     return packing.pack(docs.select("doc_id", "text", "source", place.alias("place")), order="place")
