@@ -27,7 +27,8 @@ FENCES = {
     "stutter_ratio": (0.75, 8.0, 0.02),
     "word_length": (0.75, 8.0, 0.10),
 }
-SKETCH_K = 400
+#: Up to so many values a sketch holds them all; beyond, its ranks are off by about 1 in 2000.
+SKETCH_K = 4000
 
 
 def repeated_words(w: Column) -> Column:

@@ -4,9 +4,10 @@ A token's score is the log-odds of the toxic class given the token, against the
 smoothed by Dirichlet priors in a chain: a word's prior is the rate of its 6-byte prefix, that one's the rate of the
 5-byte prefix, and so on up to the base rate; so unseen inflections of a known stem are scored as well. A linear-time scan
 finds every maximal scoring segment of a text. Segment scores are calibrated by the extreme-value law of such maxima
-(Karlin and Altschul): ``lambda`` solves E[exp(lambda * s)] = 1 over the scores of clean text, and a segment of score
-S in n tokens has the normalised score lambda * S - ln(K n). A logistic regression turns
-a document's normalised maximum, its sum over significant segments, their scores' sum, their number and its length into a probability.
+(Karlin and Altschul): ``lambda`` solves E[exp(lambda * s)] = 1 over the scores of clean text, and K is fitted to the greatest
+segments of clean documents. In n clean tokens E = K n exp(-lambda S) segments of a score of S or more are expected; a segment is
+significant, and reported, if that is at most ``EXPECTED``. A logistic regression turns a document's greatest -ln E, the sum of it
+over significant segments, the sum of their scores, their number and its length into a probability.
 """
 
 from __future__ import annotations
@@ -20,21 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlattice.llm.text import bounded_batches, chunks, mix, prefix_hash, span_hash, text_bytes
+from symlattice.plans.scratch import discard, scratch
 
 #: Labelled rows that the classifier is fitted on at most, the first by a hash of their id.
 SAMPLE = 20_000
-#: Features (words and prefixes) of the model at most, those with the clearest association.
-FEATURES = 65_536
 #: Strength of each Dirichlet prior, in documents.
 PRIOR = 8.0
 #: z-score of the log-odds that a feature needs.
 SIGNIFICANT = 3.0
 #: What each token costs a segment.
 DRIFT = 0.25
-#: A segment's score from which it is reported.
-LEAST_SEGMENT = 1.0
+#: Segments of its score that a significant segment's document, were it clean, is expected to hold at most.
+EXPECTED = 0.1
 PREFIXES = (4, 5, 6)
-_K = 0.1
 
 #: What separates tokens here: ASCII but letters and digits.
 _separator = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -104,6 +103,7 @@ class Model:
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
     clean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: float = 1.0
+    rate: float = 0.1
     mean: np.ndarray = field(default_factory=lambda: np.zeros(5))
     spread: np.ndarray = field(default_factory=lambda: np.ones(5))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(6))
@@ -138,10 +138,17 @@ class Model:
         where.append(last)
         return [(where[a], where[b], s) for a, b, s in maximal_segments(steps)]
 
+    def evidence(self, score: float, n: int) -> float:
+        """-ln of the number of segments of that score expected in ``n`` clean tokens."""
+        return self.scale * score - float(np.log(self.rate * max(n, 1)))
+
+    def significant(self, segments: list[tuple[int, int, float]], n: int) -> list[tuple[int, int, float]]:
+        return [s for s in segments if self.evidence(s[2], n) >= -np.log(EXPECTED)]
+
     def describe(self, segments: list[tuple[int, int, float]], n: int) -> list[float]:
-        kept = [s for _, _, s in segments if s >= LEAST_SEGMENT]
-        normal = [self.scale * s - np.log(_K * max(n, 10)) for s in kept]
-        return [max(normal, default=-np.log(_K * max(n, 10))), sum(x for x in normal if x > 0), sum(kept), float(len(kept)), float(np.log1p(n))]
+        kept = [s for _, _, s in self.significant(segments, n)]
+        greatest = max((s for _, _, s in segments), default=0.0)
+        return [self.evidence(greatest, n), sum(self.evidence(s, n) for s in kept), sum(kept), float(len(kept)), float(np.log1p(n))]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = self.weights[0] + ((x - self.mean) / self.spread) @ self.weights[1:]
@@ -178,15 +185,17 @@ def _decay(values: np.ndarray, counts: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE, most: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
     """A model of ``labels.toxic`` from at most ``sample`` labelled rows for which ``train`` (of doc_id) holds.
 
-    Rows without a label of 0 or 1 teach nothing; of an id with both labels the toxic one counts. The sample is
-    bounded, so it is broadcast and the texts stay where they are.
+    Rows without a label of 0 or 1 teach nothing; of an id with both labels the toxic one counts. The sample's ids are
+    few enough to be broadcast; its texts are written once, and all that is fitted is fitted on them. Features are all words and prefixes whose
+    association with the class is significant.
     """
+    bounded_batches(docs.sparkSession)
     chosen = labels.where("doc_id is not null and toxic in (0, 1)").where(train).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = scratch(docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     model = Model(base=(n1 + 0.5) / (n1 + n0 + 1))
@@ -197,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
     odds = lambda y, a, n: F.log((F.col(y) + a) / (n + PRIOR - F.col(y) - a + 1e-3))
     table = rows.mapInArrow(_counts, "feature long, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t + c >= 3")
     z = F.abs(odds("t", a1, n1) - odds("c", a0, n0)) / F.sqrt(1 / (F.col("t") + a1) + 1 / (F.col("c") + a0))
-    best = table.select("feature", "t", "c", z.alias("z")).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "feature").limit(most).toPandas()
+    best = table.select("feature", "t", "c", z.alias("z")).where(F.col("z") >= SIGNIFICANT).toPandas()  # bounded by the sample
     keys = best.feature.to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     model.keys, model.toxic, model.clean = keys[order], best.t.to_numpy(float)[order], best.c.to_numpy(float)[order]
@@ -217,6 +226,23 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
 
     seen = rows.mapInArrow(scores, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
     model.scale = _decay(np.array([r.step / 8 for r in seen]), np.array([r.n for r in seen], float))
+    scaled = rows.sparkSession.sparkContext.broadcast(model)
+
+    def greatest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of clean documents with tokens: how many have a segment, and the sum of n exp(-lambda S) of the greatest (of n, without one)."""
+        m, found, total = scaled.value, 0, 0.0
+        for batch in chunks(batches):
+            f, bounds = features(batch.column("text"))
+            for y, a, b in zip(batch.column("toxic").to_pylist(), bounds, bounds[1:], strict=False):
+                if y == 0 and b > a:
+                    best = max((s for _, _, s in m.segments(m.token_scores(f[a:b], 0))), default=0.0)
+                    found += best > 0
+                    total += float(b - a) * float(np.exp(-m.scale * best))
+        yield pa.record_batch([pa.array([found], pa.int64()), pa.array([total])], ["found", "total"])
+
+    # n exp(-lambda S) of the greatest segment is exponential with rate K; a document without one says only that it is above n
+    seen = rows.mapInArrow(greatest, "found long, total double").agg(F.sum("found").alias("found"), F.sum("total").alias("total")).first()
+    model.rate = max(1, seen.found or 0) / max(1.0, seen.total or 0.0)
     again = rows.sparkSession.sparkContext.broadcast(model)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
             yield pa.record_batch([pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
     fitted = rows.mapInArrow(described, "y int, x array<double>").toPandas()  # at most a row for each sampled one
+    discard(rows)
     model.mean, model.spread, model.weights = _logistic(np.stack(fitted.x.to_list()), fitted.y.to_numpy(float))
     return model
 
@@ -248,7 +275,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             n = np.diff(bounds)
             found = [m.segments(every[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
             p = m.probability(np.array([m.describe(s, int(k)) for s, k in zip(found, n, strict=True)]).reshape(-1, 5))
-            spans = [[{"start": a, "end": b, "score": x} for a, b, x in s if x >= LEAST_SEGMENT] for s in found]
+            spans = [[{"start": a, "end": b, "score": x} for a, b, x in m.significant(s, int(k))] for s, k in zip(found, n, strict=True)]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             yield pa.record_batch([batch.column("doc_id"), pa.array(p), pa.array(n, pa.int64()), pa.array(spans, kind)], ["doc_id", "score", "n_tokens", "segments"])
 

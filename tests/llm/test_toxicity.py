@@ -1,6 +1,9 @@
+import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from symlattice.llm import toxicity
@@ -60,3 +63,30 @@ def test_segments_by_runs_equal_segments_by_token():
         got = m.segments(s)
         want = toxicity.maximal_segments((s - toxicity.DRIFT).tolist())
         assert [g[:2] for g in got] == [w[:2] for w in want]
+
+
+def test_scores_equal_brute_force(spark, documents):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    m = toxicity.fit(documents, labels, F.lit(True))
+    counts = {int(k): (t, c) for k, t, c in zip(m.keys, m.toxic, m.clean, strict=True)}
+    logit = lambda p: math.log(p / (1 - p))
+    assert counts and m.rate > 0
+
+    def token_score(token):
+        p = m.base
+        for f in toxicity.features(pa.array([token]))[0][0]:  # shortest prefix first
+            if int(f) in counts:
+                t, c = counts[int(f)]
+                p = (t + toxicity.PRIOR * p) / (t + c + toxicity.PRIOR)
+        return logit(min(max(p, 1e-6), 1 - 1e-6)) - logit(m.base)
+
+    known = {}
+    for r in toxicity.score(documents, m).join(documents, "doc_id").collect():
+        tokens = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", r.text or "")
+        x = [known.setdefault(t, token_score(t)) - toxicity.DRIFT for t in tokens]
+        found = [s for _, _, s in toxicity.maximal_segments(x)]
+        expected = lambda s, n=len(tokens): m.rate * max(n, 1) * math.exp(-m.scale * s)
+        kept = [s for s in found if expected(s) <= toxicity.EXPECTED]
+        values = [-math.log(expected(max(found, default=0.0))), sum(-math.log(expected(s)) for s in kept), sum(kept), len(kept), math.log(1 + len(tokens))]
+        z = m.weights[0] + sum(w * (v - a) / b for w, v, a, b in zip(m.weights[1:], values, m.mean, m.spread, strict=True))
+        assert len(r.segments) == len(kept) and abs(r.score - 1 / (1 + math.exp(-min(max(z, -30), 30)))) < 1e-6
