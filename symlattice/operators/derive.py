@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symlattice.operators.components import connected_components
+from symlattice.plans.prefix import ordered_cumsum
 
 ROUNDS, LEAST_MEMBERS = 10, 3
 MAX_CHAIN, MAX_FLOWS, LEAST_STEPS = 8, 50, 2
@@ -82,7 +83,7 @@ def communities(calls: DataFrame, nodes: DataFrame, least: int = LEAST_MEMBERS)
     sized = labels.join(degree, "id").groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.min(F.struct((-F.col("degree")).alias("d"), "id")).alias("hub"))
     kept = sized.join(pairs, F.col("label") == F.col("la")).where((F.col("size") >= least) & (F.col("n_pairs") >= F.col("size")))
     named = nodes.groupBy("id").agg(F.max_by("qualified_name", "node_seq").alias("name"))
-    numbered = kept.withColumn("number", F.row_number().over(Window.orderBy("first")) - 1)  # a row for each cluster
+    numbered = ordered_cumsum(kept.withColumn("one", F.lit(1)), ["first"], "one", "number")
     out = numbered.select("number", "label", F.col("hub.id").alias("hub"), "size", "conf").join(named.withColumnRenamed("id", "hub"), "hub", "left")
     return out.select("number", "hub", "name", "size", "conf"), labels.join(out.select("number", "label"), "label").select("number", "id")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symlattice.functions.text import clip, line_list
+from symlattice.plans.prefix import ordered_cumsum
 
 PASS_BELOW, MAX_ROWS, MAX_LOOSE, MAX_INPUT = 500, 40, 3, 4 << 20
 
@@ -65,8 +66,7 @@ def fold_cap(rows: DataFrame, most: int = MAX_ROWS) -> DataFrame:
 
     A file outside the graph is shown whole once it has begun.
     """
-    order = Window.orderBy("file_ord", "row_ord")
-    placed = rows.withColumn("at", F.row_number().over(order))  # a report of tens of rows
+    placed = ordered_cumsum(rows.withColumn("one", F.lit(1)), ["file_ord", "row_ord"], "one", "at").withColumn("at", F.col("at") + 1).drop("one")
     begun = F.min("at").over(Window.partitionBy("path"))
     return placed.withColumn("shown", F.when(F.col("in_graph"), F.col("at") <= most).otherwise(begun <= most))
 

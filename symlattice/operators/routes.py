@@ -18,14 +18,13 @@ def call_style_routes(lines: DataFrame) -> DataFrame:
     Of the methods, in their fixed order, the first whose first occurrence follows an identifier or a parenthesis counts. An inline
     handler, or none, is ``<anon>``.
     """
-    trimmed = F.ltrim(F.translate("line", "\t", " "))
-    method, rest = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for m in reversed(CALL_METHODS):
-        at = F.instr(trimmed, f".{m}(")
-        fits = (at > 1) & F.substring(trimmed, at - 1, F.lit(1)).rlike(r"[A-Za-z0-9_)]")
-        method = F.when(fits, F.lit(m)).otherwise(method)
-        rest = F.when(fits, F.substring(trimmed, at + len(m) + 2, F.length(trimmed))).otherwise(rest)
-    found = lines.select("path", "line_no", method.alias("method"), rest.alias("rest")).where("method is not null").where(F.col("rest").rlike("^" + _QUOTED))
+    # one small expression for all methods, looked through in their order
+    text = lines.select("path", "line_no", F.ltrim(F.translate("line", "\t", " ")).alias("text"))
+    places = F.transform(F.array(*[F.lit(m) for m in CALL_METHODS]), lambda m: F.struct(m.alias("method"), F.call_function("instr", F.col("text"), F.concat(F.lit("."), m, F.lit("("))).alias("at")))
+    fits = lambda p: (p.at > 1) & F.substring(F.col("text"), p.at - 1, F.lit(1)).rlike(r"[A-Za-z0-9_)]")
+    first = text.withColumn("first", F.get(F.filter(places, fits), F.lit(0))).where("first is not null")
+    rest = F.substring(F.col("text"), F.col("first.at") + F.length("first.method") + 2, F.length("text"))
+    found = first.select("path", "line_no", F.col("first.method").alias("method"), rest.alias("rest")).where(F.col("rest").rlike("^" + _QUOTED))
     parts = [F.regexp_extract("rest", "^" + _QUOTED, i) for i in (1, 2, 3)]
     after = F.ltrim(F.regexp_replace(F.ltrim(F.regexp_replace("rest", "^" + _QUOTED, "")), "^,", ""))
     name = F.regexp_extract(after, r"^([A-Za-z0-9_.]*)", 1)

@@ -24,8 +24,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "fx_chain": (
         ("lineitem",),
-        """select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as edge_id, l_partkey as src_id,
-          lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as dst_id,
+        """select l_orderkey * 101 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as edge_id, l_partkey as src_id,
+          lead(l_partkey - (l_partkey - 1) % 4) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as dst_id,
           l_quantity, l_tax, cast(l_linenumber as bigint) as line, case when l_returnflag = 'R' then 'weak' else 'strong' end as conf,
           case when l_linestatus = 'O' then 'same-file' else 'import-binding' end as reason
         from lineitem""",
@@ -33,7 +33,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_calls": (
         ("fx_chain", "fx_nodes"),
         """select c.edge_id, c.src_id, c.dst_id, 'calls' as kind, t.name as raw_name, true as resolved, c.conf, c.reason, s.file_path, c.line
-        from fx_chain c join fx_nodes s on s.id = c.src_id join fx_nodes t on t.id = c.dst_id where c.l_quantity >= 48""",
+        from fx_chain c join fx_nodes s on s.id = c.src_id join fx_nodes t on t.id = c.dst_id""",
     ),
     "fx_open": (
         ("fx_chain", "fx_nodes"),
@@ -41,7 +41,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           case c.edge_id % 8 when 0 then 'references' when 1 then 'extends' when 2 then 'implements' when 3 then 'handles_route' when 4 then 'step_in' when 5 then 'member_of' else 'calls' end as kind,
           case when c.l_tax < 0.07 or c.edge_id % 3 = 0 then t.name else 'gone' end as raw_name, c.l_tax < 0.07 as resolved, c.conf,
           case when c.l_tax < 0.07 then c.reason else 'unresolved' end as reason, s.file_path, c.line
-        from fx_chain c join fx_nodes s on s.id = c.src_id join fx_nodes t on t.id = c.dst_id where c.l_quantity >= 40""",
+        from fx_chain c join fx_nodes s on s.id = c.src_id join fx_nodes t on t.id = c.dst_id""",
     ),
     "fx_seed": (("fx_calls",), "select dst_id as id, cast(1 as bigint) as seed_seq from fx_calls group by dst_id order by count(*) desc, dst_id limit 1"),
     "fx_seeds": (("fx_calls",), "select distinct dst_id as id, dst_id as seed_seq from fx_calls where dst_id % 97 = 5"),
@@ -49,9 +49,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_rawcalls": (("fx_calls",), "select edge_id as call_seq, cast(src_id as string) as from_id, raw_name as name, line % 3 = 0 as member, line, file_path, dst_id from fx_calls"),
     "fx_bindings": (
         ("fx_rawcalls", "fx_nodes"),
-        """select row_number() over (order by b.file_path, b.name) as bind_seq, b.file_path, b.name as local_name,
-          case when b.dst % 8 = 0 then '../../' || replace(n.file_path, '.ts', '') else 'ext-lib' end as source_module, b.name as imported_name, 'named' as kind
-        from (select file_path, name, min(dst_id) as dst from fx_rawcalls group by file_path, name) b join fx_nodes n on n.id = b.dst where b.dst % 4 = 0""",
+        """select row_number() over (partition by b.file_path order by b.name) as bind_seq, b.file_path, b.name as local_name,
+          case when b.dst % 32 = 1 then '../../' || replace(n.file_path, '.ts', '') else 'ext-lib' end as source_module, b.name as imported_name, 'named' as kind
+        from (select file_path, name, min(dst_id) as dst from fx_rawcalls group by file_path, name) b join fx_nodes n on n.id = b.dst where b.dst % 16 = 1""",
     ),
     "fx_files": (("fx_nodes",), "select distinct file_path as path from fx_nodes"),
     "fx_heritage": (("fx_open",), "select edge_id as seq, cast(src_id as string) as src_id, kind, case when edge_id % 2 = 0 then 'ns.' || raw_name else raw_name end as raw_name, file_path, line from fx_open where kind in ('extends', 'implements')"),
@@ -63,8 +63,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "fx_diff": (
         ("orders", "fx_nodes"),
-        """select o_orderkey * 2 as ord, '+++ b/' || n.file_path as line from orders o join fx_nodes n on n.id = o_orderkey % 150 + 1 where o_orderkey < 600
-        union all select o_orderkey * 2 + 1, '@@ -1 +' || cast(o_orderkey % 1000 + 1 as string) || case when o_custkey % 5 = 1 then '' else ',' || cast(o_custkey % 5 as string) end || ' @@' from orders where o_orderkey < 600""",
+        """select o_orderkey * 2 as ord, '+++ b/' || n.file_path as line from orders o join fx_nodes n on n.id = o_orderkey % 150 + 1
+        union all select o_orderkey * 2 + 1, '@@ -1 +' || cast(o_orderkey % 1000 + 1 as string) || case when o_custkey % 5 = 1 then '' else ',' || cast(o_custkey % 5 as string) end || ' @@' from orders""",
     ),
     "fx_files_old": (("part",), "select cast(p_partkey as string) as path, cast(p_retailprice * 100 as bigint) as mtime_ms, cast(p_size as bigint) as size from part"),
     "fx_files_new": (("part",), "select cast(case when p_partkey % 101 = 0 then p_partkey + 1000000 else p_partkey end as string) as path, cast(p_retailprice * 100 as bigint) + case when p_partkey % 97 = 0 then 1 else 0 end as mtime_ms, cast(p_size as bigint) as size from part where p_partkey % 89 <> 0"),

@@ -12,6 +12,7 @@ from symlattice.functions import text as X
 from symlattice.operators import banner, changes, components, derive, fold, freshness, graph, lookup, resolve, routes, scope, search
 from symlattice.plans import intent
 from symlattice.plans.fixtures import duck, table, view
+from symlattice.plans.prefix import ordered_cumsum
 from symlattice.plans.scratch import scratch
 from symlattice.streaming import watch
 
@@ -133,12 +134,12 @@ def members(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "select e.src_id as id, e.edge_id, coalesce(n.qualified_name, e.raw_name) as label, e.reason, case when not e.resolved then 'unresolved' when e.conf = 'weak' then 'weak' else '' end as mark, e.file_path, e.line from fx_open e left join fx_nodes n on n.id = e.dst_id where e.kind = 'calls' and e.src_id % 3 = 0",
+    "select e.src_id as id, e.edge_id, coalesce(n.qualified_name, e.raw_name) as label, e.reason, case when not e.resolved then 'unresolved' when e.conf = 'weak' then 'weak' else '' end as mark, e.file_path, e.line from fx_open e left join fx_nodes n on n.id = e.dst_id where e.kind = 'calls'",
     ("fx_open", "fx_nodes"),
 )
 def callees(spark: SparkSession, sf: str) -> DataFrame:
     nodes = view(spark, sf, "fx_nodes")
-    return graph.callees(view(spark, sf, "fx_open"), nodes, nodes.where("id % 3 = 0").select("id"))
+    return graph.callees(view(spark, sf, "fx_open"), nodes, nodes.select("id"))
 
 
 @query("select e.src_id as id, e.kind, coalesce(n.qualified_name, e.raw_name) as label, e.resolved, e.line from fx_open e left join fx_nodes n on n.id = e.dst_id where e.kind in ('extends', 'implements')", ("fx_open", "fx_nodes"))
@@ -154,13 +155,13 @@ def uses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "with s as (select * from fx_open where kind in ('handles_route', 'step_in', 'member_of')), b as (select src_id as id, kind, dst_id as peer from s union select dst_id, kind, src_id from s)"
-    " select distinct b.id, b.kind, n.name, n.qualified_name from b join fx_nodes n on n.id = b.peer where b.id % 2 = 0",
+    "with s as (select * from fx_open where kind in ('handles_route', 'step_in', 'member_of')), b as (select src_id as id, kind, dst_id as peer from s union select dst_id, kind, src_id from s where dst_id is not null)"
+    " select distinct b.id, b.kind, n.name, n.qualified_name from b join fx_nodes n on n.id = b.peer",
     ("fx_open", "fx_nodes"),
 )
 def routes_touching(spark: SparkSession, sf: str) -> DataFrame:
     nodes = view(spark, sf, "fx_nodes")
-    return graph.routes_touching(view(spark, sf, "fx_open"), nodes, nodes.where("id % 2 = 0").select("id"))
+    return graph.routes_touching(view(spark, sf, "fx_open"), nodes, nodes.select("id"))
 
 
 # -- lookup and text --------------------------------------------------------------------------------------------
@@ -198,10 +199,10 @@ def word_mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _the_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return _thing_nodes(spark, sf).withColumn("name", F.when(F.col("id") % 40 == 0, "the").otherwise(F.col("name")))
+    return _thing_nodes(spark, sf).withColumn("name", F.when(F.col("id") % 40 == 1, "the").otherwise(F.col("name")))
 
 
-_THE_NODES = "tn as (select id, case when id % 40 = 0 then 'the' else name end as name, cast(id % 150 as string) as file_path from fx_nodes)"
+_THE_NODES = "tn as (select id, case when id % 40 = 1 then 'the' else name end as name, cast(id % 150 as string) as file_path from fx_nodes)"
 _THE_EDGES = "te as (select dst_id, kind, resolved, cast(src_id % 200 as string) as file_path from fx_open)"
 _TEXT_ONLY = f"with {_THE_NODES}, {_THE_EDGES}, lk as (select file_path as path from tn where name = 'the' union select e.file_path from te e join tn n on n.id = e.dst_id where n.name = 'the' and e.kind in ('calls', 'references') and e.resolved), m as (select path, min(line_no) as first_line, count(*) as n_lines from fx_lines where {_THE} group by path having path not in (select path from lk))"
 
@@ -389,13 +390,17 @@ def aggregate_conf(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "fx_calls").groupBy(F.col("src_id").alias("id")).agg(derive.aggregate_conf().alias("conf"))
 
 
-@query(
-    "with p as (select least(src_id, dst_id) as a, greatest(src_id, dst_id) as b from fx_calls where edge_id % 8 = 0), e as (select distinct a, b from p union select distinct b, a from p), r(node, seen) as (select a, a from e union select r.node, e.b from r join e on e.a = r.seen) select node, min(seen) as component from r group by node",
-    ("fx_calls",),
-    recursive=True,
-)
+def _component_sql(rounds: int = 16) -> str:
+    """Least labels handed on along edges, round by round: enough where no two symbols of a component are further apart."""
+    out = ["p as (select distinct least(src_id, dst_id) as a, greatest(src_id, dst_id) as b from fx_calls)", "e as materialized (select a, b from p union select b, a from p)", "c0 as (select a as node, a as label from e group by a)"]
+    for k in range(1, rounds + 1):
+        out.append(f"c{k} as materialized (select c.node, least(min(c.label), min(d.label)) as label from c{k - 1} c join e on e.a = c.node join c{k - 1} d on d.node = e.b group by c.node)")
+    return "with " + ", ".join(out) + f" select node, label as component from c{rounds}"
+
+
+@query(_component_sql(), ("fx_calls",))
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return components.connected_components(stored(spark, sf, "fx_calls").where("edge_id % 8 = 0"), "src_id", "dst_id")
+    return components.connected_components(stored(spark, sf, "fx_calls"), "src_id", "dst_id")
 
 
 @query()
@@ -454,11 +459,9 @@ _OWNED = "owned as (select h.*, h.path in (select path from spans) as in_graph,
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    lines = view(spark, sf, "fx_lines").where(X.has_word(F.col("line"), "the"))
-    order = F.row_number().over(Window.orderBy(F.col("path").cast("long"), "line_no")).cast("long")
-    return lines.select(order.alias("ord"), F.concat(F.lit("d/"), "path", F.lit(":"), F.col("line_no").cast("string"), F.lit(":"), "line").alias("raw"))
+    lines = view(spark, sf, "fx_lines").where(X.has_word(F.col("line"), "the")).select(F.col("path").cast("long").alias("file"), "path", "line_no", "line", F.lit(1).alias("one"))
+    numbered = ordered_cumsum(lines, ["file", "line_no"], "one", "before")
+    return numbered.select((F.col("before") + 1).alias("ord"), F.concat(F.lit("d/"), "path", F.lit(":"), F.col("line_no").cast("string"), F.lit(":"), "line").alias("raw"))
 
 
 def _span_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -502,10 +505,10 @@ def fold_cap(spark: SparkSession, sf: str) -> DataFrame:
     return fold.fold_cap(fold.fold_rows(_owned(spark, sf))).select("path", "row_ord", *_long("at"), "in_graph", "shown")
 
 
-@query("select path, line_no, substr(line, 1, 3) || substr(line, 6, 1) || substr(line, 10) as line from fx_lines where line_no <= 2", ("fx_lines",))
+@query("select path, line_no, substr(line, 1, 3) || substr(line, 6, 1) || substr(line, 10) as line from fx_lines", ("fx_lines",))
 def tail_cut(spark: SparkSession, sf: str) -> DataFrame:
     ranges = fold.parse_cut("-3,2,6,10-")
-    return view(spark, sf, "fx_lines").where("line_no <= 2").select("path", "line_no", fold.keep_chars(F.col("line"), ranges).alias("line"))
+    return view(spark, sf, "fx_lines").select("path", "line_no", fold.keep_chars(F.col("line"), ranges).alias("line"))
 
 
 # -- resolution -----------------------------------------------------------------------------------------------------
@@ -576,15 +579,15 @@ def contains_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "with md as (select b.file_path, b.bind_seq, f.path as target from fx_barrels b join fx_files f on f.path = 'src/' || substr(b.source_module, 3) || '.ts'), fs as (select file_path, name, arg_min(id, seq) as id from fx_symbols where name <> 'default' group by file_path, name)"
-    " select file_path as file, name as want, arg_min(id, bind_seq) as id from (select md.file_path, md.bind_seq, fs.name, fs.id from md join fs on fs.file_path = md.target where fs.name like 'u%') group by file_path, name",
+    "with md as (select b.file_path, b.bind_seq, f.path as target from fx_barrels b join fx_files f on f.path = 'src/' || substr(b.source_module, 3) || '.ts'), fs as (select file_path, name, arg_min(id, seq) as id from fx_symbols where name <> 'default' group by file_path, name),"
+    " rq as (select distinct 'src/all' || cast(seq % 5 as string) || '.ts' as file_path, name from fx_symbols)"
+    " select rq.file_path as file, rq.name as want, arg_min(fs.id, md.bind_seq) as id from rq join md on md.file_path = rq.file_path join fs on fs.file_path = md.target and fs.name = rq.name group by rq.file_path, rq.name",
     ("fx_barrels", "fx_files", "fx_symbols"),
 )
 def barrels(spark: SparkSession, sf: str) -> DataFrame:
-    symbols, bindings, files = (view(spark, sf, v) for v in ("fx_symbols", "fx_barrels", "fx_files"))
+    symbols, bindings, files = (stored(spark, sf, v) for v in ("fx_symbols", "fx_barrels", "fx_files"))
     modules = resolve.resolve_modules(bindings, files)
-    names = symbols.where("name like 'u%'").select(F.col("name").alias("want")).distinct()
-    asked = bindings.select(F.col("file_path").alias("file")).distinct().join(names)
+    asked = symbols.select(F.concat(F.lit("src/all"), (F.col("seq") % 5).cast("string"), F.lit(".ts")).alias("file"), F.col("name").alias("want"))
     return resolve.resolve_exports(asked, symbols, bindings, modules)
 
 
@@ -652,14 +655,14 @@ def setstate_render(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "with p as (select l.path, l.line_no from fx_route_lines l where l.line_no % 5 = 0), s as (select id, file_path, seq, 'src/r' || cast(seq % 50 as string) || '.js' as path, seq % 400 as a, seq % 400 + 3000 as b from fx_symbols)"
+    "with p as (select l.path, l.line_no from fx_route_lines l), s as (select id, file_path, seq, 'src/r' || cast(seq % 50 as string) || '.js' as path, seq % 400 as a, seq % 400 + 3000 as b from fx_symbols)"
     " select p.path, p.line_no, coalesce((select arg_max(s.id, s.a * 1000000 + s.seq) from s where s.path = p.path and s.a <= p.line_no and p.line_no <= s.b), p.path || '#<module>') as id from (select distinct * from p) p",
     ("fx_route_lines", "fx_symbols"),
 )
 def enclosing_owner(spark: SparkSession, sf: str) -> DataFrame:
     seq = F.col("seq")
     symbols = view(spark, sf, "fx_symbols").select("id", F.concat(F.lit("src/r"), (seq % 50).cast("string"), F.lit(".js")).alias("file_path"), (seq % 400).alias("start_line"), (seq % 400 + 3000).alias("end_line"), "seq")
-    return routes.enclosing_at(view(spark, sf, "fx_route_lines").where("line_no % 5 = 0"), symbols)
+    return routes.enclosing_at(view(spark, sf, "fx_route_lines"), symbols)
 
 
 # -- sources, freshness, scope ----------------------------------------------------------------------------------------
@@ -717,7 +720,7 @@ def fan_out_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"with tn as (select cast(id % 7 as string) as repo, id, case when id % 40 = 0 and id % 7 <> 3 then 'the' else name end as name, cast(id % 150 as string) as file_path from fx_nodes), tl as (select cast(cast(path as bigint) % 7 as string) as repo, path, line_no, line from fx_lines), te as (select cast(dst_id % 7 as string) as repo, dst_id, kind, resolved, cast(src_id % 200 as string) as file_path from fx_open),"
+    f"with tn as (select cast(id % 7 as string) as repo, id, case when id % 40 = 1 and id % 7 <> 3 then 'the' else name end as name, cast(id % 150 as string) as file_path from fx_nodes), tl as (select cast(cast(path as bigint) % 7 as string) as repo, path, line_no, line from fx_lines), te as (select cast(dst_id % 7 as string) as repo, dst_id, kind, resolved, cast(src_id % 200 as string) as file_path from fx_open),"
     f" sn as (select repo, count(*) as c from tn where name = 'the' group by repo), lk as (select repo, file_path as path from tn where name = 'the' union select e.repo, e.file_path from te e join tn n on n.repo = e.repo and n.id = e.dst_id where n.name = 'the' and e.kind in ('calls', 'references') and e.resolved),"
     f" tx as (select repo, count(*) as c from (select distinct repo, path from tl where {_THE} except select repo, path from lk) group by repo), ea as (select sn.c as s, tx.c as t from sn full join tx on sn.repo = tx.repo),"
     " tt as (select coalesce(max(s), 0) as same_name, coalesce(max(case when s is not null then t end), 0) as text_only, coalesce(sum(case when s is null then t end), 0)::bigint as stray from ea) select *, same_name > 6 or text_only > 12 or stray > 12 as refused from tt",
@@ -725,7 +728,7 @@ def fan_out_search(spark: SparkSession, sf: str) -> DataFrame:
 )
 def group_refusal(spark: SparkSession, sf: str) -> DataFrame:
     nodes = _thing_nodes(spark, sf).withColumn("repo", (F.col("id") % 7).cast("string"))
-    nodes = nodes.withColumn("name", F.when((F.col("id") % 40 == 0) & (F.col("id") % 7 != 3), "the").otherwise(F.when(F.col("name") == "thing", F.lit("x")).otherwise(F.col("name"))))
+    nodes = nodes.withColumn("name", F.when((F.col("id") % 40 == 1) & (F.col("id") % 7 != 3), "the").otherwise(F.when(F.col("name") == "thing", F.lit("x")).otherwise(F.col("name"))))
     lines = view(spark, sf, "fx_lines").withColumn("repo", (F.col("path").cast("long") % 7).cast("string"))
     edges = _the_edges(spark, sf).withColumn("repo", (F.col("dst_id") % 7).cast("string"))
     return scope.group_refusal(nodes, lines, edges, "the")
