@@ -2,8 +2,9 @@
 
 Every query is scored against every row. Global histograms of the scores are refined, digit by digit,
 until the *k*-th highest value of each query is known; a last pass keeps the rows at or above it, and
-ties at the value go to the smaller id. Rows are scored where they lie, and only histograms and the
-few rows kept are shuffled.
+ties at the value go to the smaller id. Queries are dealt into blocks and rows into slices, both of bounded size, and each pair of a block
+and a slice is a group of its own, so that all queries are refined in the same few passes. How far a
+query's value is known stands in a table; only histograms and the few rows kept are brought together.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries scored at once: the bound of what is broadcast (their vectors), whatever the number of queries.
-QUERY_BLOCK = 2048
+from symlattice.plans.scratch import discard, scratch
+
+#: Queries of a block and rows of a slice, about: a group's memory, whatever their number.
+QUERY_BLOCK, SLICE = 1024, 16_384
 #: Bins of a histogram; each pass narrows a query's range of scores by this factor.
 BINS = 512
 
@@ -49,92 +52,80 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vid"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("q"))
-    rows = rows.where("vid is not null and v is not null and size(v) > 0")
-    asked = rows.where("q").groupBy("vid").agg(F.min("v").alias("v"))
-    # query ids split into blocks of at most QUERY_BLOCK by a range sort; only one block's vectors are at the driver at once
-    n = asked.count()
-    parts = []
-    last = None
-    candidates = rows.select("vid", "v")
-    for _ in range(-(-n // QUERY_BLOCK)):
-        block = (asked if last is None else asked.where(F.col("vid") > last)).orderBy("vid").limit(QUERY_BLOCK).collect()
-        last = block[-1].vid
-        for width in sorted({len(r.v) for r in block}):
-            same = [r for r in block if len(r.v) == width]
-            parts.append(_block(candidates.where(F.size("v") == width), np.array([r.vid for r in same]), np.array([r.v for r in same], np.float64), k))
-    found = parts[0] if parts else spark.createDataFrame([], "query_id long, vid long, score long")
-    for p in parts[1:]:
-        found = found.union(p)
+    rows = scratch(rows.where("vid is not null and v is not null and size(v) > 0").withColumn("width", F.size("v")))
+    n, m = rows.agg(F.count(F.when(F.col("q"), 1)), F.count(F.lit(1))).first()
+    if not n:
+        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
+    blocks, slices = -(-n // QUERY_BLOCK), -(-m // SLICE)
+    dealt = lambda name, parts, seed: F.pmod(F.xxhash64(F.col(name), F.lit(seed)), F.lit(parts))
+    everywhere = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    key = ["width", "block", "slice"]
+    candidates = rows.select("vid", "v", "width", dealt("vid", slices, 5).alias("slice"), everywhere(blocks).alias("block"))
+    # by Cauchy-Schwarz no score is beyond the product of the norms; the k-th value is in [low, high), and ``above`` scores are at or above high
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
+    longest = rows.groupBy("width").agg(F.max(norm).alias("longest"))
+    asked = rows.where("q").groupBy("vid", "width").agg(F.min("v").alias("v"))
+    first = Window.partitionBy("vid").orderBy("v", "width")
+    asked = asked.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+    reach = F.ceil(norm * F.col("longest")) + 1
+    state = asked.join(longest, "width").select(F.col("vid").alias("own"), "v", "width", dealt("vid", blocks, 3).alias("block"), (-reach).alias("low"), (reach + 1).alias("high"), F.lit(0).cast("long").alias("above"))
+    state = scratch(state)
+    while state.agg(F.max(F.col("high") - F.col("low"))).first()[0] > 1:
+        groups = candidates.groupBy(*key).cogroup(state.withColumn("slice", everywhere(slices)).groupBy(*key))
+        counted = groups.applyInArrow(_histogram, "own long, counts array<long>")
+        bins = counted.select("own", F.posexplode("counts").alias("bin", "n")).where("n > 0").groupBy("own", "bin").agg(F.sum("n").alias("n"))
+        down = Window.partitionBy("own").orderBy(F.desc("bin"))  # a row for each bin
+        upto = bins.join(state.select("own", "above"), "own").withColumn("seen", F.col("above") + F.sum("n").over(down))
+        hit = upto.where((F.col("seen") >= k) & (F.col("seen") - F.col("n") < k)).select("own", "bin", (F.col("seen") - F.col("n")).alias("before"))
+        step = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low")) / BINS))
+        low = F.col("low") + F.coalesce("bin", F.lit(0)) * step
+        # fewer than k scores: all of them count
+        high = F.when(F.col("bin").isNull(), F.col("low") + 1).otherwise(F.least("high", low + step))
+        new = state.join(hit, "own", "left").select("own", "v", "width", "block", low.cast("long").alias("low"), high.cast("long").alias("high"), F.coalesce("before", "above").alias("above"))
+        new = scratch(new)
+        discard(state)
+        state = new
+    groups = candidates.groupBy(*key).cogroup(state.withColumn("slice", everywhere(slices)).groupBy(*key))
+    found = groups.applyInArrow(_keep(k), "query_id long, vid long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vid")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vid").alias(id_col), "score")
 
 
-def _block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """Rows (query_id, vid, score) among which are each query's k best; few, whatever the ties."""
-    spark, width = rows.sparkSession, queries.shape[1]
-    shared = spark.sparkContext.broadcast((ids, queries))
-    # by Cauchy-Schwarz no score is beyond the product of the norms
-    longest = rows.select(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)))).first()[0] or 0.0
-    reach = np.ceil(np.linalg.norm(queries, axis=1) * longest).astype(np.int64) + 1
-    low, high = -reach, reach + 1  # the k-th value is in [low, high)
-    above = np.zeros(len(ids), np.int64)  # scores at or above high
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        own, q = shared.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                vid = part.column("vid").to_numpy()
-                score = _exact(q, _matrix(part.column("v"), width))
-                yield vid, np.where(own[:, None] == vid[None, :], np.iinfo(np.int64).min, score)
-
-    while True:
-        step = np.maximum(1, -(-(high - low) // BINS))
-        if (high - low <= 1).all():
-            break
-        bounds = spark.sparkContext.broadcast((low, high, step))
-
-        def histogram(batches: Iterator[pa.RecordBatch], bounds=bounds) -> Iterator[pa.RecordBatch]:
-            low, high, step = bounds.value
-            counts = np.zeros((len(low), BINS), np.int64)
-            for _, score in scored(batches):
-                inside = (score >= low[:, None]) & (score < high[:, None])
-                q, c = np.nonzero(inside)
-                counts += np.bincount(q * BINS + (score[q, c] - low[q]) // step[q], minlength=counts.size).reshape(counts.shape)
-            used = np.flatnonzero(counts.any(axis=1))
-            yield pa.record_batch([pa.array(used, pa.int64()), pa.array(list(counts[used]), pa.list_(pa.int64()))], ["q", "counts"])
-
-        # one histogram a query and task; bins are summed apart, and only each query's own bin comes to the driver
-        parts = rows.mapInArrow(histogram, "q long, counts array<long>")
-        bins = parts.select("q", F.posexplode("counts").alias("bin", "n")).where("n > 0").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("q").orderBy(F.desc("bin"))
-        start = spark.createDataFrame([(i, int(a)) for i, a in enumerate(above)], "q long, above long")
-        upto = bins.join(F.broadcast(start), "q").withColumn("seen", F.col("above") + F.sum("n").over(down))
-        hit = upto.where((F.col("seen") >= k) & (F.col("seen") - F.col("n") < k)).select("q", "bin", (F.col("seen") - F.col("n")).alias("before")).collect()
-        new_low, new_high = low.copy(), low + 1  # fewer than k scores: all of them count
-        for r in hit:
-            new_low[r.q] = low[r.q] + r.bin * step[r.q]
-            new_high[r.q] = min(high[r.q], new_low[r.q] + step[r.q])
-            above[r.q] = r.before
-        low, high = new_low, new_high
-        bounds.unpersist()
-
-    floor = spark.sparkContext.broadcast(low)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, _ = shared.value
-        low, best = floor.value, None
-        for vid, score in scored(batches):
+def _scored(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of some rows of a slice, and the scores of a block's queries against them; a row of the query's own id scores least."""
+    if not left.num_rows or not right.num_rows:
+        return
+    width = right.column("width")[0].as_py()
+    own, q = right.column("own").to_numpy(), _matrix(right.column("v").combine_chunks(), width)
+    for a in range(0, left.num_rows, 1024):
+        part = left.slice(a, 1024)
+        vid = part.column("vid").to_numpy()
+        yield vid, np.where(own[:, None] == vid[None, :], np.iinfo(np.int64).min, _exact(q, _matrix(part.column("v").combine_chunks(), width)))
+
+
+def _histogram(left: pa.Table, right: pa.Table) -> pa.Table:
+    low, high = (right.column(c).to_numpy() for c in ("low", "high"))
+    step = np.maximum(1, -(-(high - low) // BINS))
+    counts = np.zeros((right.num_rows, BINS), np.int64)
+    for _, score in _scored(left, right):
+        q, c = np.nonzero((score >= low[:, None]) & (score < high[:, None]))
+        counts += np.bincount(q * BINS + (score[q, c] - low[q]) // step[q], minlength=counts.size).reshape(counts.shape)
+    used = np.flatnonzero(counts.any(axis=1))
+    return pa.table({"own": pa.array(right.column("own").to_numpy()[used], pa.int64()), "counts": pa.array(list(counts[used]), pa.list_(pa.int64()))})
+
+
+def _keep(k: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, low = (right.column(c).to_numpy() for c in ("own", "low"))
+        best = np.zeros((3, 0), np.int64)
+        for vid, score in _scored(left, right):
             q, c = np.nonzero(score >= low[:, None])
-            found = np.stack([q, -score[q, c], vid[c]]) if best is None else np.concatenate([best, np.stack([q, -score[q, c], vid[c]])], axis=1)
+            found = np.concatenate([best, np.stack([q, -score[q, c], vid[c]])], axis=1)
             found = found[:, np.lexsort(found[::-1])]
             first = np.flatnonzero(np.r_[True, found[0][1:] != found[0][:-1]]) if found.shape[1] else np.zeros(0, int)
             rank = np.arange(found.shape[1]) - np.repeat(first, np.diff(np.r_[first, found.shape[1]]))
-            best = found[:, rank < k]  # of the ties at the value a task needs no more than its k smallest ids
-        if best is not None:
-            yield pa.record_batch([pa.array(own[best[0]], pa.int64()), pa.array(best[2]), pa.array(-best[1])], ["query_id", "vid", "score"])
-
-    return rows.mapInArrow(keep, "query_id long, vid long, score long")
-
+            best = found[:, rank < k]  # of the ties at the value a group needs no more than its k smallest ids
+        return pa.table({"query_id": pa.array(own[best[0]], pa.int64()), "vid": pa.array(best[2], pa.int64()), "score": pa.array(-best[1], pa.int64())})
 
+    return run

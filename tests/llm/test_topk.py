@@ -42,6 +42,7 @@ def test_few_rows(spark):
 
 def test_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "SLICE", 100)
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(600)]
     assert run(spark, rows, 3) == brute(rows, 3)
