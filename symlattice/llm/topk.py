@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from symlattice.plans.scratch import discard, scratch
 
 #: Queries of a block and rows of a slice, about: a group's memory, whatever their number.
-QUERY_BLOCK, SLICE = 1024, 16_384
+QUERY_BLOCK, SLICE = 1024, 65_536
 #: Bins of a histogram; each pass narrows a query's range of scores by this factor.
 BINS = 512
 
@@ -72,8 +72,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
     state = scratch(state)
     while state.agg(F.max(F.col("high") - F.col("low"))).first()[0] > 1:
         groups = candidates.groupBy(*key).cogroup(state.withColumn("slice", everywhere(slices)).groupBy(*key))
-        counted = groups.applyInArrow(_histogram, "own long, counts array<long>")
-        bins = counted.select("own", F.posexplode("counts").alias("bin", "n")).where("n > 0").groupBy("own", "bin").agg(F.sum("n").alias("n"))
+        counted = groups.applyInArrow(_histogram, "own long, bin int, n long")
+        bins = counted.groupBy("own", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("own").orderBy(F.desc("bin"))  # a row for each bin
         upto = bins.join(state.select("own", "above"), "own").withColumn("seen", F.col("above") + F.sum("n").over(down))
         hit = upto.where((F.col("seen") >= k) & (F.col("seen") - F.col("n") < k)).select("own", "bin", (F.col("seen") - F.col("n")).alias("before"))
@@ -111,8 +111,8 @@ def _histogram(left: pa.Table, right: pa.Table) -> pa.Table:
     for _, score in _scored(left, right):
         q, c = np.nonzero((score >= low[:, None]) & (score < high[:, None]))
         counts += np.bincount(q * BINS + (score[q, c] - low[q]) // step[q], minlength=counts.size).reshape(counts.shape)
-    used = np.flatnonzero(counts.any(axis=1))
-    return pa.table({"own": pa.array(right.column("own").to_numpy()[used], pa.int64()), "counts": pa.array(list(counts[used]), pa.list_(pa.int64()))})
+    q, used = np.nonzero(counts)
+    return pa.table({"own": pa.array(right.column("own").to_numpy()[q], pa.int64()), "bin": pa.array(used, pa.int32()), "n": pa.array(counts[q, used], pa.int64())})
 
 
 def _keep(k: int):
