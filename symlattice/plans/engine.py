@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,13 @@ from pyspark.sql import functions as F
 from symlattice.functions.paths import STORE_DIR
 from symlattice.operators import banner, changes, derive, fold, freshness, graph, lookup, resolve, routes, search
 from symlattice.plans.prefix import ordered_cumsum
-from symlattice.plans.scratch import scratch
+from symlattice.plans.scratch import scratch, shared_dir
 from symlattice.sources import config, git
 from symlattice.sources.facts import extract_facts, fact_tables
 from symlattice.sources.groups import Groups
 from symlattice.sources.store import GraphStore
 from symlattice.sources.tree import hit_lines, scan_tree, source_lines
+from symlattice.streaming import watch
 
 BRIEF_ROWS, SUGGESTIONS = 40, 8
 
@@ -108,6 +110,10 @@ class Engine:
         )
         self.store.set_meta(coverage="exhaustive")
 
+    def watch(self, **options):
+        """Keep the graph up to date until the query that is returned is stopped."""
+        return watch_engines([self], **options)
+
     # -- asking ---------------------------------------------------------------------------------------------
 
     def status(self) -> DataFrame:
@@ -208,6 +214,13 @@ def build_graph(facts: DataFrame, t: dict[str, DataFrame], lines: DataFrame, cfg
     return nodes, resolve.all_edges([s.select(*columns) for s in sections]), attrs
 
 
+def watch_engines(engines: list[Engine], checkpoint: str | None = None, **options):
+    """Watch the folders of all ``engines``: a burst of changes in one rebuilds that one alone."""
+    spark, by_root = engines[0].spark, {e.root: e for e in engines}
+    checkpoint = checkpoint or f"{shared_dir(spark)}/symlattice/watch-{uuid.uuid4().hex}"
+    return watch.watch_trees(spark, list(by_root), lambda root: by_root[root].ensure(), checkpoint, **options)
+
+
 class GroupEngine:
     """Several repositories as one scope; every answer says whose it is, and no member is left out of the banner."""
 
@@ -230,6 +243,9 @@ class GroupEngine:
             raise RuntimeError("; ".join(f"{k}: {v}" for k, v in failed.items()))
         return done
 
+    def watch(self, **options):
+        return watch_engines(list(self.members.values()), **options)
+
     def status(self) -> DataFrame:
         rows = None
         for label, e in self.members.items():

@@ -694,11 +694,16 @@ def should_flush(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "fx_batches").select("event_id", watch.should_flush(F.col("n_paths"), F.col("elapsed_ms")).alias("flush"))
 
 
-@query()
+@query(
+    "with recursive e as materialized (select distinct cast(user_id % 40 as varchar) as root, event_type as path, epoch_us(ts) // 60000 as ms from events), s as materialized (select distinct root, ms from e),"
+    " d as materialized (select s.root, s.ms, s.ms + case when count(distinct e.path) > 2 then 2000 else 300 end as due from s join e on e.root = s.root and e.ms >= s.ms and e.ms < s.ms + 300 group by s.root, s.ms),"
+    " nx as materialized (select d.root, d.ms, d.due, s.ms as after from d asof left join s on s.root = d.root and d.due <= s.ms),"
+    " w(root, ms) as (select root, min(ms) from s group by root union all select nx.root, nx.after from w join nx on nx.root = w.root and nx.ms = w.ms where nx.after is not null)"
+    " select w.root, count(distinct e.path) as n_paths, w.ms as first_ms, nx.due as flush_ms from w join nx on nx.root = w.root and nx.ms = w.ms join e on e.root = w.root and e.ms >= w.ms and e.ms < nx.due group by w.root, w.ms, nx.due"
+)
 def debounce_batches(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    ms = (F.unix_micros(F.col("ts").cast("timestamp")) / 60000).cast("long")
-    return watch.debounce_batches(e.select((F.col("user_id") % 40).cast("string").alias("root"), F.col("event_type").alias("path"), ms.alias("ms")))
+    ms = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) div 60000")
+    return watch.debounce_batches(table(spark, sf, "events").select((F.col("user_id") % 40).cast("string").alias("root"), F.col("event_type").alias("path"), ms.alias("ms")))
 
 
 @query(

@@ -135,3 +135,30 @@ def test_groups(spark, engine, tmp_path):
     assert all(v.found for v in views.values()) and g.refusal(views, "shared") is None
     assert "[group: 2 repos]" in g.banner() and "[a] " in g.search_text("shared")
     assert g.status().where(F.col("repo") == "b").first().nodes >= 2
+
+
+def test_watch_rebuilds_what_changed(spark, tmp_path):
+    import time
+
+    roots = [str(tmp_path / "one"), str(tmp_path / "two")]
+    for root in roots:
+        write(root, {"a.py": "def first():\n    pass\n", ".gitignore": "gen/\n"})
+    group = GroupEngine(spark, roots)
+    group.ensure()
+    said = []
+    query = group.watch(checkpoint=str(tmp_path / "cp"), interval="200 milliseconds", report=said.append)
+    try:
+        for _ in range(60):  # the first look at the folders is what later ones are held against
+            time.sleep(0.5)
+            if "Waiting" in query.status["message"]:
+                break
+        write(roots[1], {"b.py": "def second():\n    pass\n", "gen/c.py": "def third():\n    pass\n", "notes.txt": "x"})
+        for _ in range(120):
+            time.sleep(0.5)
+            if group.members["two"].store.read("nodes").where("name = 'second'").count():
+                break
+        assert query.exception() is None
+        assert group.members["two"].store.read("nodes").where("name = 'second'").count() == 1
+        assert [x for x in said if x.startswith("↻")] == ["↻ 1 file changed in two → ensure"]
+    finally:
+        query.stop()

@@ -164,8 +164,20 @@ def test_tail_view_and_cut():
 
 def test_debounce():
     events = pd.DataFrame([("r", "a", 0), ("r", "b", 100), ("r", "a", 900), ("r", "a", 5000), ("r", "b", 5010), ("r", "c", 5020), ("r", "d", 6900)], columns=["root", "path", "ms"])
-    got = watch.debounce_pass(events)
-    assert got.values.tolist() == [["r", 2, 0, 300], ["r", 1, 900, 1200], ["r", 4, 5000, 7000]]
+    events = pd.concat([events, events.assign(root="s")], ignore_index=True)
+    want = [[r, *x] for r in "rs" for x in ([2, 0, 300], [1, 900, 1200], [4, 5000, 7000])]
+    for size in (1, 3, 20):  # a batch of events may end anywhere
+        got = pd.concat(list(watch.debounce_pass(events.iloc[i : i + size] for i in range(0, len(events), size))))
+        assert got.values.tolist() == want
+
+
+def test_events_belong_to_the_first_root_that_wants_them(spark):
+    paths = ["/w/a/x.ts", "/w/a/sub/y.py", "/w/a/notes.txt", "/w/b.ts", "/w/ab/x.ts", "/w/a/.git/h.ts", "/w/a/gen/z.ts", "/v/z.ts", "x.ts", None]
+    events = spark.createDataFrame([(p,) for p in paths], "path string")
+    found = lambda *a: {(r.root, r.path) for r in watch.attribute(events, *a).collect()}
+    assert found(["/w/a", "/w/"]) == {("/w/a", "x.ts"), ("/w/a", "sub/y.py"), ("/w/a", "gen/z.ts"), ("/w", "b.ts"), ("/w", "ab/x.ts")}
+    assert found(["/w", "/w/a"], {"/w": [("^a/gen/", True)]}) == {("/w", "a/x.ts"), ("/w", "a/sub/y.py"), ("/w/a", "gen/z.ts"), ("/w", "b.ts"), ("/w", "ab/x.ts")}
+    assert found([]) == set()
 
 
 def test_streaming_debounce(spark, tmp_path):
