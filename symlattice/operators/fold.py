@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +28,12 @@ def symbol_spans(nodes: DataFrame) -> DataFrame:
     return some.select(F.col("file_path").alias("path"), F.col("node_seq").alias("span_seq"), "kind", "name", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
 
 
-def enclosing(hits: DataFrame, spans: DataFrame) -> DataFrame:
+def enclosing(hits: DataFrame, spans: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Hits with in_graph and the innermost span around each (null: top level): shortest, then latest start, then first.
 
-    A range join within a file; the innermost of the spans of a hit is an aggregate, not a window.
+    Files of the graph are those of ``known`` (path), or, without it, those that have spans. A range join within a file; the innermost of the spans of a hit is an aggregate, not a window.
     """
-    known = spans.select("path").distinct().withColumn("in_graph", F.lit(True))
+    known = (spans if known is None else known).select("path").distinct().withColumn("in_graph", F.lit(True))
     around = hits.select("ord", "path", "line").join(spans, "path").where("start <= line and line <= end")
     best = around.groupBy("ord").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("late"), F.col("span_seq"), "kind", "name", "start", "end")).alias("s"))
     best = best.select("ord", F.struct("s.span_seq", "s.kind", "s.name", "s.start", "s.end").alias("owner"))
@@ -76,19 +79,12 @@ def cut_counts(capped: DataFrame) -> DataFrame:
     return capped.where("not shown").agg(F.count(F.lit(1)).alias("cut_rows"), F.count_distinct("path").alias("cut_files"))
 
 
-def fold(lines: DataFrame, nodes: DataFrame, head: int | None = None, cut: str | None = None) -> tuple[str | None, dict]:
-    """The folded text of hit lines (ord, raw), and figures; or None and the reason for which the raw text should be used.
-
-    Reasons: small, huge, unparsed, no-graph, not-smaller. ``head`` and ``cut`` are what comes after in the caller's pipe;
-    sizes are compared as they leave it.
-    """
-    size = lines.agg(F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0)).alias("n")).first().n
-    if size <= PASS_BELOW or size > MAX_INPUT:
-        return None, {"reason": "small" if size <= PASS_BELOW else "huge"}
+def fold(lines: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> tuple[str | None, dict]:
+    """The folded text of hit lines (ord, raw), and figures; or None and the reason for which there is none: unparsed, no-graph."""
     hits = parse_hits(lines)
     if hits.where("not parsed").limit(1).count():
         return None, {"reason": "unparsed"}
-    owned = enclosing(hits, symbol_spans(nodes))
+    owned = enclosing(hits, symbol_spans(nodes), known)
     capped = fold_cap(fold_rows(owned)).orderBy("at").collect()  # of at most 4 MiB of input
     if not any(r.in_graph for r in capped):
         return None, {"reason": "no-graph"}
@@ -106,12 +102,37 @@ def fold(lines: DataFrame, nodes: DataFrame, head: int | None = None, cut: str |
     hidden = [r for r in capped if not r.shown]
     if hidden:
         out.append(f"… +{len(hidden)} more rows in {len({r.path for r in hidden})} files")
-    text = "\n".join(out) + "\n"
-    raw = "\n".join(r.raw for r in lines.orderBy("ord").collect()) + "\n"
-    seen_raw, seen = tail_view(raw, head, cut), tail_view(text, head, cut)
-    if len(seen.encode()) >= len(seen_raw.encode()):
-        return None, {"reason": "not-smaller"}
-    return seen, {"raw_chars": len(seen_raw.encode()), "out_chars": len(seen.encode()), "hits": n_hits, "files": len(files), "symbols": sum(r.in_graph for r in capped)}
+    return "\n".join(out) + "\n", {"hits": n_hits, "files": len(files), "symbols": sum(r.in_graph for r in capped)}
+
+
+def fold_text(text: str, folded: Callable[[], tuple[str | None, dict]], head: int | None = None, cut: str | None = None, strip: str | None = None) -> tuple[str, dict]:
+    """A text of hits, folded if that is smaller, and figures; or as it came, without a leading ``strip:`` in its lines, and the reason.
+
+    Reasons: empty, small, huge, not-smaller and those of ``folded``, which is called only if its result is needed. ``head`` and ``cut``
+    are what comes after in the caller's pipe; sizes are compared as they leave it.
+    """
+    size = lambda x: len(tail_view(x, head, cut).encode())
+    if not text:
+        return "", {"reason": "empty"}
+    if len(text.encode()) > MAX_INPUT:
+        return text, {"reason": "huge"}
+    plain = re.sub(rf"(?m)^{re.escape(strip)}:", "", text) if strip else text
+    if size(plain) <= PASS_BELOW:
+        return plain, {"reason": "small"}
+    out, stats = folded()
+    if out is None:
+        return plain, stats
+    if len(out.encode()) >= len(text.encode()) or size(out) >= size(plain):
+        return plain, {"reason": "not-smaller"}
+    return out, {"raw_chars": size(plain), "out_chars": size(out), **stats}
+
+
+def log_line(text: str, stats: dict, tag: str | None = None, head: int | None = None, cut: str | None = None) -> dict:
+    """What is logged of a fold: sizes and figures, and why a text went out as it came."""
+    seen = len(tail_view(text, head, cut).encode())
+    figures = {"raw_chars": seen, "out_chars": seen, "folded": "reason" not in stats, "hits": 0, "files": 0, "symbols": 0}
+    figures |= {k: v for k, v in stats.items() if k in figures}
+    return ({"tag": tag} if tag else {}) | figures | ({"pass": stats["reason"]} if "reason" in stats else {})
 
 
 def parse_cut(cut: str) -> list[tuple[int, int | None]] | None:
@@ -146,7 +167,7 @@ def _any(conditions: list[Column]) -> Column:
 
 def tail_view(text: str, head: int | None = None, cut: str | None = None) -> str:
     """A text as it leaves ``| head -N | cut -c LIST``."""
-    lines = text.splitlines(keepends=True)[: head if head is not None else None]
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)[:head]
     ranges = parse_cut(cut) if cut else None
     if ranges is None:
         return "".join(lines)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import time
@@ -18,7 +19,7 @@ from symlattice.plans.scratch import scratch, shared_dir
 from symlattice.sources import config, git
 from symlattice.sources.facts import extract_facts, fact_tables
 from symlattice.sources.groups import Groups
-from symlattice.sources.store import GraphStore
+from symlattice.sources.store import SCHEMAS, GraphStore
 from symlattice.sources.tree import hit_lines, scan_tree, source_lines
 from symlattice.streaming import watch
 
@@ -182,13 +183,47 @@ class Engine:
         changed, hit, partial = changes.impact(nodes, edges, hunks)
         return changed.orderBy("file_path", "start_line"), hit.orderBy("depth", "file_path", "start_line"), bool(partial.first().partial)
 
-    def fold(self, hits: str, head: int | None = None, cut: str | None = None, log: str | None = None, tag: str | None = None) -> tuple[str, dict]:
-        """Hit lines folded by symbol, or the text as it came, and figures; with ``log`` a JSON line of them is appended."""
-        text, stats = fold.fold(hit_lines(self.spark, hits), self.store.read("nodes"), head, cut)
-        if log:
-            with open(log, "a", encoding="utf-8") as file:
-                file.write(json.dumps({"ts": int(time.time() * 1000)} | ({"tag": tag} if tag else {}) | stats) + "\n")
-        return (fold.tail_view(hits, head, cut) if text is None else text), stats
+    def fold(self, hits: str, head: int | None = None, cut: str | None = None, log: str | None = None, tag: str | None = None, strip: str | None = None) -> tuple[str, dict]:
+        """Hit lines of this repository, folded by symbol, or the text as it came, and figures; with ``log`` a JSON line of them is appended."""
+        out = fold.fold_text(hits, lambda: fold.fold(hit_lines(self.spark, hits), self.store.read("nodes")), head, cut, strip)
+        return _logged(out, log, tag, head, cut)
+
+
+def _logged(out: tuple[str, dict], log: str | None, tag: str | None, head: int | None, cut: str | None) -> tuple[str, dict]:
+    if log and out[0]:
+        with contextlib.suppress(OSError), open(log, "a", encoding="utf-8") as file:  # a log that can't be written costs no answer
+            file.write(json.dumps({"ts": int(time.time() * 1000)} | fold.log_line(*out, tag, head, cut)) + "\n")
+    return out
+
+
+def nearest_root(path: str) -> str | None:
+    """The closest folder above an existing path that has a store."""
+    real = os.path.realpath(path)
+    if not os.path.exists(real):
+        return None
+    while (above := os.path.dirname(real)) != real:
+        real = above
+        if os.path.exists(os.path.join(real, STORE_DIR, "_CURRENT")):
+            return real
+    return None
+
+
+def fold_by_path(spark: SparkSession, hits: str, cwd: str, head: int | None = None, cut: str | None = None, log: str | None = None, tag: str | None = None, strip: str | None = None) -> tuple[str, dict]:
+    """Hit lines folded by the symbols of whatever repositories their paths (from ``cwd``) lie in: each file's is the nearest with a store above it."""
+
+    def folded() -> tuple[str | None, dict]:
+        lines = hit_lines(spark, hits)
+        written = [r.path for r in fold.parse_hits(lines).where("parsed").select("path").distinct().collect()]  # of at most 4 MiB of input
+        files = [(p, root, os.path.relpath(os.path.realpath(os.path.join(cwd, p)), root)) for p in written if (root := nearest_root(os.path.join(cwd, p)))]
+        known = spark.createDataFrame(files, "path string, root string, rel string")
+        nodes = spark.createDataFrame([], SCHEMAS["nodes"])
+        for root in sorted({root for _, root, _ in files}):
+            own = known.where(F.col("root") == root).select("path", F.col("rel").alias("file_path"))
+            found = GraphStore(spark, os.path.join(root, STORE_DIR)).read("nodes").join(F.broadcast(own), "file_path")  # the text's paths
+            nodes = nodes.unionByName(found.withColumn("file_path", F.col("path")).drop("path"))
+        return fold.fold(lines, nodes, known.select("path"))
+
+    return _logged(fold.fold_text(hits, folded, head, cut, strip), log, tag, head, cut)
 
 
 def build_graph(facts: DataFrame, t: dict[str, DataFrame], lines: DataFrame, cfg: resolve.ResolveConfig) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -141,4 +141,5 @@ def source_lines(files: DataFrame) -> DataFrame:
 
 def hit_lines(spark: SparkSession, text: str) -> DataFrame:
     """(ord, raw) of a text of hits, such as a search tool prints."""
-    return spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines(), 1)], "ord long, raw string")
+    lines = text.removesuffix("\n").split("\n")
+    return spark.createDataFrame([(i, line.removesuffix("\r")) for i, line in enumerate(lines, 1)], "ord long, raw string")

@@ -1,3 +1,4 @@
+import json
 import os
 import subprocess
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symlattice.plans import render
-from symlattice.plans.engine import Engine, GroupEngine
+from symlattice.plans.engine import Engine, GroupEngine, fold_by_path
 from symlattice.sources.groups import Groups
 
 
@@ -109,6 +110,30 @@ def test_fold(engine):
     assert engine.fold("no hit line at all\n" * 60)[1] == {"reason": "unparsed"}
 
 
+def test_fold_takes_the_nearest_store_of_each_path(spark, tmp_path):
+    outer, inner = str(tmp_path / "o"), str(tmp_path / "o/inner")
+    write(outer, {"a.py": "def first():\n    x = 1\n    return x\n"})
+    write(inner, {"b.py": "def second():\n    x = 2\n    return x\n", "c.py": "# x\n"})
+    GroupEngine(spark, [outer, inner]).ensure()
+    write(str(tmp_path), {"loose.py": "x\n", "o/notes.txt": "x\n"})
+    hits = "".join(f"{p}:{n}:a line\x0b with x {i}\n" for i in range(20) for p, n in (("o/a.py", 2), ("o/inner/b.py", 3), ("o/inner/c.py", 1), ("loose.py", 1), ("o/notes.txt", 1), ("gone.py", 9)))
+    log = str(tmp_path / "log")
+    text, stats = fold_by_path(spark, hits, str(tmp_path), log=log, tag="t")
+    assert text.splitlines()[0].startswith("fold: 120 hits in 6 files") and stats["symbols"] == 4
+    # files of a repository that has no symbol for them are at its top level; files of no repository keep their first lines
+    body = text[text.index("\n") + 1 :].replace("a line\x0b with", "…")
+    assert "o/a.py\n  1-3 function first ×20" in body and "o/inner/b.py\n  1-3 function second ×20" in body
+    assert "o/inner/c.py\n  (top level) ×20" in body and "o/notes.txt\n  (top level) ×20" in body
+    assert "loose.py\n  L1: " in body and "gone.py\n  L9: " in body and body.count("+17 more") == 2
+    one = "".join(f"o/a.py:2:some text {i}\n" for i in range(10))
+    assert fold_by_path(spark, one, str(tmp_path), log=log, strip="o/a.py") == (one.replace("o/a.py:", ""), {"reason": "small"})
+    assert fold_by_path(spark, hits, str(tmp_path), head=2, log=log)[1] == {"reason": "small"}
+    assert fold_by_path(spark, hits, str(tmp_path / "none"))[1] == {"reason": "no-graph"} and fold_by_path(spark, "", "/") == ("", {"reason": "empty"})
+    logged = [json.loads(x) for x in open(log)]
+    assert [(x.get("tag"), x["folded"], x.get("pass")) for x in logged] == [("t", True, None), (None, False, "small"), (None, False, "small")]
+    assert logged[0]["hits"] == 120 and logged[0]["raw_chars"] == len(hits.encode()) and logged[1]["raw_chars"] == len(one) - 70 and all("ts" in x for x in logged)
+
+
 def test_lock_and_reading_never_create(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "none"))
     assert not e.store.exists() and e.store.read("nodes").count() == 0 and not os.path.exists(e.store.path)
