@@ -233,11 +233,23 @@ def _dense_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows (band, n, node, ...) with the blocks (i, j) of their bucket in which they are: part is i or j."""
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
-    return rows.withColumn("parts", parts).withColumn("part", part).withColumn("block", F.explode(pairs)).select("*", "block.i", "block.j").drop("block", "parts")
+    """Rows (band, node, component) with the blocks (i, j) of their bucket in which they are: part is i or j.
+
+    Documents of a bucket's largest component aren't held against each other: they are dealt over parts of their own, after
+    those of the rest, and a block is a part of the rest with any part. So what is copied is rows of the largest
+    component for each part of the rest, and rows of the rest for each part, not all rows for all parts.
+    """
+    counts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = counts.groupBy("band").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("n"))
+    parts_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    tables = largest.select("band", F.col("main.component").alias("main"), parts_of(F.col("n") - F.col("main.c")).alias("rest"), parts_of(F.col("main.c")).alias("most"))
+    inside = F.col("component") == F.col("main")
+    deal = F.xxhash64("node", F.lit(3))
+    part = F.when(inside, F.col("rest") + F.pmod(deal, F.col("most"))).otherwise(F.pmod(deal, F.col("rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
+    placed = rows.join(tables, "band").withColumn("part", part).withColumn("block", F.explode(pairs))
+    return placed.select(*rows.columns, "part", "block.i", "block.j")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -283,7 +295,7 @@ def components(docs: DataFrame, table: DataFrame) -> DataFrame:
     links = scratch(confirmed(star, sets))
 
     state = connected_components(links, "a", "b")
-    placed = members.join(state, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(state, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     several = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     active = scratch(placed.join(several, "band", "left_semi"))
     blocks = _blocks(active)

@@ -80,6 +80,22 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_blocks_meet_every_pair_of_components_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    component = {node: 0 if node < 200 else 1 if node < 240 else node for node in range(250)}
+    rows = spark.createDataFrame([(5, n, c) for n, c in component.items()] + [(6, 300, 1), (6, 301, 2)], "band long, node long, component long")
+    blocks = {}
+    for r in near_dedup._blocks(rows).collect():
+        blocks.setdefault((r.band, r.i, r.j), []).append((r.part, r.node))
+    met = []
+    for (band, i, j), held in blocks.items():
+        assert all(part in (i, j) for part, _ in held) and len(held) < 150
+        met += [(min(x, y), max(x, y)) for p, x in held for q, y in held if (p, q) == (i, j) and (i < j or x < y) and band == 5]
+    assert len(met) == len(set(met)) and {(x, y) for x in component for y in component if x < y and component[x] != component[y]} <= set(met)
+    # of the largest component, a copy for each part of the 50 others
+    assert sum(n < 200 for held in blocks.values() for _, n in held) == 200 * 2
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(3)
     for j in (0.5, 0.75, 0.9):
