@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.plans.scratch import scratch
+from symlattice.plans.scratch import discard, scratch
 
 
 def _least(rows: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         # small star: u and its smaller neighbours are linked to the least of them
         low = _least(large)
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        links = scratch(small)
+        old, links = links, scratch(small)
+        discard(old)
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

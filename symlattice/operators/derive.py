@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symlattice.operators.components import connected_components
+from symlattice.operators.labels import PACKED, pack, sweeps
 from symlattice.plans.prefix import ordered_cumsum
+from symlattice.plans.scratch import discard, scratch
 
 ROUNDS, LEAST_MEMBERS = 10, 3
 MAX_CHAIN, MAX_FLOWS, LEAST_STEPS = 8, 50, 2
+#: A task of label propagation takes small components together until they have so many nodes.
+LEAST_TASK_NODES = 4096
 #: Node kinds that take part.
 SYMBOL_KINDS = ("function", "class", "method")
 
@@ -46,27 +49,34 @@ def propagate(neighbours: dict, rounds: int = ROUNDS) -> dict:
     return label
 
 
-def _labels(pdf: pd.DataFrame) -> pd.DataFrame:
-    around: dict = {}
-    for a, b in zip(pdf.a, pdf.b, strict=True):
-        around.setdefault(a, []).append(b)
-        around.setdefault(b, []).append(a)
-    label = propagate(around)
-    return pd.DataFrame({"id": list(label), "label": list(label.values())})
-
-
 def label_propagation(calls: DataFrame) -> DataFrame:
-    """(id, label) of all symbols with a call to or from another one.
+    """(id, label) of all symbols with a call to or from another one, as :func:`propagate` finds them.
 
     A label depends on a node's neighbours alone, and further rounds on a component that has settled change
-    nothing; so components are independent, and each is one group of ``applyInPandas``. A sweep is sequential by
-    definition: the largest component is the largest task.
+    nothing; so components are independent. Nodes are numbered by component and id, and a task sweeps over whole
+    components whose numbers follow each other. Sorting and packing of the links is dealt over all tasks; a sweep
+    itself is sequential by definition, so that the largest component is the largest task. It holds 24 bytes a
+    node of its components, and 4 bytes a link end on its disk.
     """
-    pairs = calls.where("src_id <> dst_id").select(F.least("src_id", "dst_id").alias("a"), F.greatest("src_id", "dst_id").alias("b")).distinct()
-    parts = connected_components(pairs, "a", "b")
-    grouped = pairs.join(parts.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b")
-    kind = dict(calls.dtypes)["src_id"]
-    return grouped.groupBy("component").applyInPandas(_labels, f"id {kind}, label {kind}")
+    spark = calls.sparkSession
+    pairs = scratch(calls.where("src_id <> dst_id").select(F.least("src_id", "dst_id").alias("a"), F.greatest("src_id", "dst_id").alias("b")).distinct())
+    parts = scratch(connected_components(pairs, "a", "b"))
+    numbered = scratch(ordered_cumsum(parts.withColumn("one", F.lit(1)), ["component", "node"], "one", "n").select("node", "component", "n"))
+    span = max(LEAST_TASK_NODES, -(-numbered.count() // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # a component's least node comes first: its number tells the task of all
+    task = numbered.where("node = component").select("component", F.floor(F.col("n") / span).alias("task"))
+    a = numbered.join(task, "component").select(F.col("node").alias("a"), F.col("n").alias("u"), "task")
+    b = numbered.select(F.col("node").alias("b"), F.col("n").alias("v"))
+    links = scratch(pairs.join(a, "a").join(b, "b").select("task", "u", "v"))
+    discard(pairs, parts)
+    both = links.union(links.select("task", F.col("v").alias("u"), F.col("u").alias("v")))
+    packed = scratch(both.repartitionByRange("u", "v").sortWithinPartitions("u", "v").mapInArrow(pack, PACKED))
+    discard(links)
+    found = scratch(packed.repartition("task").sortWithinPartitions("task", "first", "last").mapInArrow(sweeps(ROUNDS), "n long, label long"))
+    name = numbered.select(F.col("n").alias("label"), F.col("node").alias("label_id"))
+    out = scratch(found.join(numbered, "n").join(name, "label").select(F.col("node").alias("id"), F.col("label_id").alias("label")))
+    discard(packed, found, numbered)
+    return out
 
 
 def communities(calls: DataFrame, nodes: DataFrame, least: int = LEAST_MEMBERS) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +125,7 @@ def flows(calls: DataFrame, max_chain: int = MAX_CHAIN, max_flows: int = MAX_FLO
 
 def derived_rows(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and attributes of clusters and flows, as they are stored. Labels fall back to the id of what has no node."""
-    _, calls = derive_input(nodes, edges)
+    calls = scratch(derive_input(nodes, edges)[1])  # read by each step of the walks
     clusters, members = communities(calls, nodes)
     walks = flows(calls)
     one = nodes.groupBy("id").agg(F.max_by(F.struct("qualified_name", "file_path"), "node_seq").alias("n")).select("id", "n.*")

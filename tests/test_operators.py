@@ -1,12 +1,15 @@
 """Operators on small inputs with known answers."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from symlattice.functions import paths, text
-from symlattice.operators import banner, changes, components, derive, fold, graph, lookup, resolve, search
+from symlattice.operators import banner, changes, components, derive, fold, graph, labels, lookup, resolve, search
 from symlattice.plans.prefix import ordered_cumsum
 from symlattice.sources import config, python_source, script_source, tree
 from symlattice.streaming import watch
@@ -79,6 +82,62 @@ def test_label_propagation_by_component_equals_the_whole(spark):
     assert {r.id: r.label for r in derive.label_propagation(calls).collect()} == derive.propagate(around)
 
 
+def _link_batches(pairs, rows):
+    ends = np.array(sorted([*pairs, *((b, a) for a, b in pairs)]))
+    for i in range(0, len(ends), rows):
+        part = ends[i : i + rows]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int64)), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["task", "u", "v"])
+
+
+def test_sweeps_over_chunks_equal_one_node_after_the_other(monkeypatch):
+    rng = random.Random(5)
+    for trial in range(60):
+        n = rng.choice([5, 30, 200])
+        pairs = {tuple(sorted((rng.randrange(n), rng.randrange(n)))) for _ in range(rng.choice([n, 4 * n]))}
+        pairs |= {(0, i) for i in range(1, n)} if trial % 3 == 0 else {(i, i + 1) for i in range(n)}
+        pairs = sorted((a, b) for a, b in pairs if a != b)
+        around = {}
+        for a, b in pairs:
+            around.setdefault(a, []).append(b)
+            around.setdefault(b, []).append(a)
+        ids = sorted(around)
+        number = {x: i for i, x in enumerate(ids)}
+        monkeypatch.setattr(labels, "CHUNK", rng.choice([1, 4, 16, 100, 65536]))
+        monkeypatch.setattr(labels, "ATTEMPTS", rng.choice([0, 1, 2, 32]))
+        packed = labels.pack(_link_batches([(number[a], number[b]) for a, b in pairs], rng.choice([1, 7, 1000])))
+        got = {ids[r["n"]]: ids[r["label"]] for out in labels.sweeps(10)(packed) for r in out.to_pylist()}
+        assert got == derive.propagate(around)
+
+
+def test_sweeps_hold_nodes_and_not_links():
+    n = 1500  # each linked with all others: 2.2 million link ends, 18 MB of numbers alone
+
+    def packed():
+        for u in range(n):
+            row = pa.RecordBatch.from_arrays([pa.array(np.zeros(n - 1, np.int64)), pa.array(np.full(n - 1, u)), pa.array(np.delete(np.arange(n), u))], ["task", "u", "v"])
+            yield from labels.pack(iter([row]))
+
+    tracemalloc.start()
+    out = [x for batch in labels.sweeps(10)(packed()) for x in batch.column("label").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(out)) == 1 and len(out) == n and peak < 12e6
+
+
+def test_label_propagation_deals_components_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(derive, "LEAST_TASK_NODES", 1)
+    rng = random.Random(3)
+    pairs = sorted({(f"n{a:03}", f"n{b:03}") for a, b in (sorted((rng.randrange(300), rng.randrange(300))) for _ in range(260)) if a != b})
+    around = {}
+    for a, b in pairs:
+        around.setdefault(a, []).append(b)
+        around.setdefault(b, []).append(a)
+    calls = spark.createDataFrame([*pairs, *((b, a) for a, b in pairs[:50]), ("n000", "n000"), ("x", "x"), (None, "n001")], "src_id string, dst_id string")
+    got = [(r.id, r.label) for r in derive.label_propagation(calls).collect()]
+    assert len(got) == len(around) and dict(got) == derive.propagate(around)
+    assert derive.label_propagation(calls.limit(0)).count() == 0
+
+
 def test_running_sum_over_a_total_order(spark):
     rows = [(random.Random(i).choice("ab"), i, i % 5) for i in range(500)]
     got = {r.k: r.before for r in ordered_cumsum(spark.createDataFrame(rows, "g string, k long, v long"), ["g", "k"], "v", "before").collect()}
