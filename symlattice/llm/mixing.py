@@ -112,6 +112,22 @@ def _fill(t: DataFrame, most: int) -> DataFrame:
     return t.withColumn("extra", F.when(take, 1).otherwise(F.col("extra"))).drop("fits", "bucket", "bucket_base", "bucket_size")
 
 
+def training_ranks(docs: DataFrame, *keep: str, share: float = SHARE, most: int = MAX_EPOCHS) -> DataFrame:
+    """Rows of :func:`mix` with ``ranks``: the place of each copy in the training order, from 0, ascending.
+
+    All copies are range-sorted by training position, ties by doc_id as in :func:`training_order`, then by the
+    other columns; rows that are equal in all of them are interchangeable.
+    """
+    plan = mix(docs, *keep, share=share, most=most)
+    row, at, one, rank = unused(plan.columns, "__row", "__at", "__one", "__rank")
+    plan = scratch(plan.withColumn(row, F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    order = [at, *dict.fromkeys(["doc_id", "source", *keep, "size"]), row]
+    copies = plan.select("*", F.explode("positions").alias(at)).select(*order, F.lit(1).alias(one))
+    ranks = ordered_cumsum(copies, order, one, rank).groupBy(row).agg(F.sort_array(F.collect_list(rank)).alias("ranks"))
+    names = [c for c in plan.columns if c != row]
+    return plan.join(ranks, row, "left").select(*names, F.coalesce("ranks", F.array().cast("array<bigint>")).alias("ranks"))
+
+
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """The documents' own columns, a row for each copy taken, range-sorted by training position.
 

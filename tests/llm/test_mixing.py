@@ -1,8 +1,9 @@
 import re
 from collections import defaultdict
 
-from symlattice.llm import mixing
+from symlattice.llm import mixing, queries
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -64,6 +65,23 @@ def test_training_order(documents):
     assert seen == want
 
 
+def test_query_ranks_all_copies_by_position(spark, documents):
+    rows = queries.op2_mixing(spark, SF).collect()
+    copies = sorted((rank, p, r.doc_id) for r in rows for rank, p in zip(r.ranks, r.positions, strict=True))
+    assert [rank for rank, _, _ in copies] == list(range(len(copies))) and len(rows) == documents.count()
+    assert copies == sorted(copies, key=lambda c: c[1:])
+    assert [d for _, _, d in copies] == [r.doc_id for r in mixing.training_order(documents).collect()]
+
+
+def test_ranks_of_awkward_rows(awkward, empty):
+    rows = mixing.training_ranks(awkward).collect()
+    check(rows, awkward.collect())
+    assert sorted(k for r in rows for k in r.ranks) == list(range(sum(r.copies for r in rows))) and all(len(r.ranks) == r.copies for r in rows)
+    again = mixing.training_ranks(awkward.repartition(5)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert mixing.training_ranks(empty).count() == 0
+
+
 def test_training_order_of_repeats(awkward):
     want = sorted((r.doc_id or -1) for r in mixing.mix(awkward).collect() for _ in range(r.copies))
     out = mixing.training_order(awkward)
